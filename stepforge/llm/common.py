@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from stepforge.session import ship
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``; set here only where it is unset."""
@@ -23,6 +25,7 @@ class Workspace:
     """A folder of Parquet tables below the shared folder; each table cuts lineage and survives lost executors."""
 
     def __init__(self, spark: SparkSession, label: str):
+        ship(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
