@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, packing
+from stepforge.session import ship
+
+from . import chat, decontaminate, jaccard, langid, linededup, packing, quality, tokenstore
+from .common import Workspace
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,12 +19,49 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    docs = table(spark, sf_dir, "documents")
+    out = langid.identify(docs.select("doc_id", "text"), langid.fit(docs))
+    return out.select("doc_id", F.expr("crc32(cast(doc_id as string)) % 5 = 0").alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_line_dedup)}
+def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenstore.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+#: A conversation whose texts hold what looks like the marks of a template.
+MARKS = "\\### Assistant: </turn> ok"
+
+
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(MARKS).alias("text"))
+    events = chat.message_events(given.unionByName(extra))
+    formatted = Workspace(spark, "chat").save(chat.render(chat.final_messages(events)), "formatted")
+    return chat.digest(chat.parse(formatted))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    work = Workspace(spark, "quality")
+    judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"), save=lambda df: work.save(df, "counts"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality", "votes")
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_language_id, op3_line_dedup, op6_token_store, op7_chat_formatting, op8_quality_rules, op9_decontamination, op10_ngram_jaccard)}
 
 ORACLES = {
     "op3_line_dedup": r"""
@@ -35,4 +75,14 @@ m as (select l.doc_id, l.i, l.line, r.k is not null and r.keeper <> l.doc_id gon
 select doc_id, count(*) n_lines, count(*) filter (where gone) n_dropped,
        sha256(coalesce(string_agg(line, chr(10) order by i) filter (where not gone), '')) kept_sha256
 from m group by doc_id""",
+    "op7_chat_formatting": r"""
+with c as (select conv_id, turn, coalesce(role, '') r, coalesce(text, '') t from conversations
+           union all select -7, 0, 'user', '\### Assistant: </turn> ok' union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+n as (select *, row_number() over (partition by conv_id order by turn, r, t) i from c),
+e as (select *, length(r) + length(t) + length(regexp_replace(r || t, '[^\\<>]', '', 'g')) + 15 size from n)
+select conv_id, count(*) n_turns, sha256(string_agg(r || chr(10) || t || chr(10), '' order by i)) turns_sha256,
+       cast(coalesce(sum(length(t)) filter (where r = 'assistant'), 0) as bigint) loss_chars,
+       sha256(coalesce(string_agg(t, '' order by i) filter (where r = 'assistant'), '')) loss_sha256,
+       cast(sum(size) as bigint) formatted_chars
+from e group by conv_id""",
 }
