@@ -17,15 +17,17 @@ BLANKS = "[\\x20\\x09-\\x0D]"
 RULES = (
     ("symbols", "10 * n_symbols > n_words", "50 * n_symbols <= n_words"),
     ("capitals", "2 * n_upper > word_chars", "5 * n_upper <= word_chars"),
-    ("repeats", "5 * n_repeat_words > n_words", "20 * n_repeat_words <= n_words"),
+    ("repeats", "5 * n_repeat_words > 2 * n_words", "20 * n_repeat_words <= n_words"),
     ("duplicate_lines", "4 * n_dup_lines > n_lines and n_dup_lines > 2", "n_dup_lines = 0"),
     ("exclamations", "10 * n_exclaimed > n_words", "100 * n_exclaimed <= n_words"),
     ("word_length", "word_chars > 14 * n_words or word_chars < 2 * n_words", "word_chars between 3 * n_words and 10 * n_words"),
     ("few_words", "n_words < 20", "n_words >= 50"),
 )
 ROUNDS = 50
-#: Pseudo-documents behind each rate, so that none becomes 0 or 1: the expected rates of bad and good votes by class.
-PRIOR = {"good": (0.01, 0.8), "bad": (0.3, 0.3)}
+#: Rules are written to be precise: on good documents a rule that votes is taken to vote bad this often at most.
+FALSE_ALARM = 0.002
+#: How often a rule that votes may be found to vote bad on bad documents, and what is expected before any data.
+FIRES, EXPECTED = (0.05, 0.95), 0.25
 PRIOR_WEIGHT = 20.0
 
 
@@ -81,31 +83,34 @@ def votes(counted: DataFrame, rules=RULES) -> DataFrame:
     return counted.withColumn("votes", F.concat(*[F.when(F.expr(bad), "b").when(F.expr(good), "g").otherwise("-") for _, bad, good in rules]))
 
 
-def estimate(patterns: dict[str, int], rounds: int = ROUNDS) -> tuple[float, dict[str, list[dict[str, float]]], dict[str, float]]:
-    """EM over counts of vote patterns: share of good documents, vote rates by class and rule, posterior by pattern.
+def estimate(patterns: dict[str, int], rounds: int = ROUNDS) -> tuple[float, dict[str, list[float]], dict[str, float]]:
+    """EM over counts of vote patterns: share of good documents, rates of bad votes by class and rule, posterior by pattern.
 
-    Starts from the expected rates in PRIOR, which also stay as pseudo-counts, so the classes can't change places.
+    An abstention is no evidence. The bounds on the rates keep the classes from changing places.
     """
     if not patterns:
         return 0.5, {}, {}
-    n = len(next(iter(patterns)))
-    expected = {c: {"b": bad, "g": good, "-": 1 - bad - good} for c, (bad, good) in PRIOR.items()}
-    rates = {c: [dict(expected[c]) for _ in range(n)] for c in PRIOR}
+    rules = range(len(next(iter(patterns))))
+    rates = {"good": [FALSE_ALARM for _ in rules], "bad": [EXPECTED for _ in rules]}
     share = 0.8
 
     def posterior(pattern: str) -> float:
-        odds = math.log(share / (1 - share)) + sum(math.log(rates["good"][k][v] / rates["bad"][k][v]) for k, v in enumerate(pattern))
-        return 1 / (1 + math.exp(-max(-500.0, min(500.0, odds))))
+        odds = math.log(share / (1 - share))
+        for k in rules:
+            good, bad = rates["good"][k], rates["bad"][k]
+            if pattern[k] != "-":
+                odds += math.log(good / bad) if pattern[k] == "b" else math.log((1 - good) / (1 - bad))
+        return 1 / (1 + math.exp(-odds))
 
     for _ in range(rounds):
         good = {p: posterior(p) for p in patterns}
-        mass = {"good": sum(n * good[p] for p, n in patterns.items()), "bad": sum(n * (1 - good[p]) for p, n in patterns.items())}
-        for c in PRIOR:
-            for k in range(n):
-                for v in "bg-":
-                    held = sum(m * (good[p] if c == "good" else 1 - good[p]) for p, m in patterns.items() if p[k] == v)
-                    rates[c][k][v] = (held + PRIOR_WEIGHT * expected[c][v]) / (mass[c] + PRIOR_WEIGHT)
-        share = min(0.999, max(0.001, (mass["good"] + PRIOR_WEIGHT * 0.8) / (mass["good"] + mass["bad"] + PRIOR_WEIGHT)))
+        for k in rules:
+            for c, expected in (("good", FALSE_ALARM), ("bad", EXPECTED)):
+                mass = {p: n * (good[p] if c == "good" else 1 - good[p]) for p, n in patterns.items() if p[k] != "-"}
+                rate = (sum(m for p, m in mass.items() if p[k] == "b") + PRIOR_WEIGHT * expected) / (sum(mass.values()) + PRIOR_WEIGHT)
+                rates[c][k] = min(max(rate, 1e-6), FALSE_ALARM) if c == "good" else min(max(rate, FIRES[0]), FIRES[1])
+        total = sum(patterns.values())
+        share = min(0.999, max(0.001, (sum(n * good[p] for p, n in patterns.items()) + PRIOR_WEIGHT * 0.8) / (total + PRIOR_WEIGHT)))
     return share, rates, {p: posterior(p) for p in sorted(patterns)}
 
 
