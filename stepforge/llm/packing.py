@@ -24,7 +24,7 @@ from .common import Workspace
 from .kernels import slices
 
 #: Nodes that the branch and bound may visit before it settles for its incumbent.
-NODES = 4000
+NODES = 200
 Pattern = tuple[int, ...]
 
 
@@ -176,14 +176,15 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id:
         end = np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
-            for a, b, _, _ in slices(texts):
+            for a, b, raw, offsets in slices(texts):
                 rows = []
-                for doc, data in zip(ids[a:b].to_pylist(), encoder.encode(texts[a:b].to_pylist()), strict=True):
-                    data += end
+                found, bounds = encoder.encode(raw, offsets)
+                for k, doc in enumerate(ids[a:b].to_pylist()):
+                    data = found[bounds[k] : bounds[k + 1]].tobytes() + end
                     n = len(data) // 4
                     at = [0, *range((n - 1) % capacity + 1, n + 1, capacity)]
-                    for k, (x, y) in enumerate(zip(at, at[1:], strict=False)):
-                        rows.append((doc, k, x, y - x, zlib.crc32(data[4 * x : 4 * y]), task, seen[y - x]))
+                    for piece, (x, y) in enumerate(zip(at, at[1:], strict=False)):
+                        rows.append((doc, piece, x, y - x, zlib.crc32(data[4 * x : 4 * y]), task, seen[y - x]))
                         seen[y - x] += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 

@@ -1,8 +1,9 @@
-"""Token ids by the tokenizers library with a bounded cache of pre-tokens.
+"""Token ids by the tokenizers library, with a table of known pre-tokens.
 
-A byte-level BPE works on each pre-token by itself, so a text's ids are its pre-tokens' ids put together. Known
-pre-tokens come from a dictionary that is emptied when full; unknown ones go to the library in batches. Texts with characters beyond the
-Latin and punctuation blocks, on which Unicode versions could differ, go to the library whole.
+A byte-level BPE works on each pre-token by itself, so a text's ids are its pre-tokens' ids put together. Pre-tokens
+are found and hashed with array operations; known ones take their ids from a sorted table of bounded size, new ones
+go to the library. Texts with characters outside ASCII and the Latin letters, on which classes or Unicode versions
+could differ, go to the library whole.
 """
 
 from __future__ import annotations
@@ -11,48 +12,154 @@ import os
 from functools import lru_cache
 
 import numpy as np
-import regex
 
-CACHE_ENTRIES = 600_000
-PLAIN = regex.compile("[\\x09\\x0A\\x0D\\x20-\\x7E¡-ſ‐-‧]*")
+from .kernels import TABLE, prefix, ranges, span
+
+#: Known pre-tokens, about 30 bytes each; a full table starts anew.
+ENTRIES = 600_000
+RECENT = 40_000
+LETTERS, DIGITS, BLANK, OTHER, FOREIGN = range(5)
+CLASS = np.full(256, FOREIGN, np.uint8)
+CLASS[0x21:0x7F] = OTHER
+CLASS[[*range(65, 91), *range(97, 123), *range(0x80, 0xC0), 0xC3, 0xC4, 0xC5]] = LETTERS
+CLASS[48:58] = DIGITS
+CLASS[[0x20, 0x09, 0x0A, 0x0D]] = BLANK
+
+
+def boundaries(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Starts of the pre-tokens of plain texts (see foreign()).
+
+    Runs of letters, digits or other signs are pre-tokens, each with a space that precedes it; what is left of a run of
+    blanks is one too, and so is a blank other than a space just before a word. An apostrophe that opens a run of signs
+    without a space before it goes with s, t, m, d, re, ve or ll after it.
+    """
+    n = len(data)
+    kind = CLASS[data]
+    blank = kind == BLANK
+    first = np.zeros(n + 1, bool)
+    first[offsets] = True
+    before = np.empty(n, np.uint8)  # class of the byte before in the same text, FOREIGN at its start
+    before[1:] = kind[:-1]
+    before[first[:n]] = FOREIGN
+    after = np.full(n, FOREIGN, np.uint8)
+    after[:-1] = kind[1:]
+    after[first[1:]] = FOREIGN
+    spaced = np.zeros(n, bool)
+    spaced[1:] = data[:-1] == 32
+    spaced &= before == BLANK
+    out = np.where(blank, (before != BLANK) | (after < FOREIGN) & (after != BLANK), (kind != before) & ~spaced)
+    mark = np.flatnonzero((data == 39) & (before != OTHER) & ~spaced & (after == LETTERS))
+    if len(mark):
+        padded = np.append(data, np.zeros(2, np.uint8))
+        kinds = np.append(np.where(first[:n], 100, 0) + kind, [200, 200])
+        a, b = padded[mark + 1], padded[mark + 2]
+        two = (kinds[mark + 2] == LETTERS) & ((b == 101) & ((a == 114) | (a == 118)) | (a == 108) & (b == 108))
+        one = np.isin(a, [115, 116, 109, 100])
+        for at, size in ((mark[one], 2), (mark[two & ~one], 3)):
+            out[at + 1] = False
+            follows = at + size
+            follows = follows[kinds[follows] == LETTERS]
+            out[follows] = True
+    return np.flatnonzero(out)
+
+
+def foreign(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Whether each text needs the library for the whole of it."""
+    odd = CLASS[data] == FOREIGN
+    odd[1:] |= (data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7))
+    return np.diff(np.concatenate([[0], np.cumsum(odd)])[offsets]) > 0
 
 
 class Encoder:
-    """encode(texts) gives each text's ids as little-endian unsigned 32-bit bytes."""
+    """encode(data, offsets) gives all ids of some texts, one after another, and where each text's ids begin and end."""
 
     def __init__(self, vocabulary: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import public_tokenizers
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(vocabulary)
         self.library.encode_special_tokens = True
-        self.split = regex.compile(public_tokenizers.PATTERN).findall
-        self.cache: dict[str, bytes] = {}
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(x.ids, "<u4").tobytes() for x in self.library.encode_batch(texts, add_special_tokens=False)]
-
-    def learn(self, parts: list[str]) -> None:
-        """Adds pre-tokens to the cache. Words with a leading space go in long runs, which cost less a word."""
-        words = [x for x in parts if x[0] == " " and x[1:].isalpha()]
-        self.cache.update(zip(rest := [x for x in parts if not (x[0] == " " and x[1:].isalpha())], self.whole(rest), strict=True))
-        for k in range(0, len(words), 500):
-            found = self.library.encode("".join(words[k : k + 500]), add_special_tokens=False)
-            cuts = np.flatnonzero(np.diff(np.asarray(found.word_ids))) * 4 + 4
-            ids = np.asarray(found.ids, "<u4").tobytes()
-            at = [0, *cuts.tolist(), len(ids)]
-            self.cache.update(zip(words[k : k + 500], (ids[x:y] for x, y in zip(at, at[1:], strict=False)), strict=True))
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        cache = self.cache
-        parts = [self.split(x) if x and PLAIN.fullmatch(x) else None for x in texts]
-        new = {p for x in parts if x for p in x if p not in cache}
-        if len(cache) + len(new) > CACHE_ENTRIES:
-            cache.clear()
-            new = {p for x in parts if x for p in x}
-        self.learn(list(new))
-        return [b"".join(map(cache.__getitem__, p)) if p else self.whole([x])[0] if x else b"" for p, x in zip(parts, texts, strict=True)]
+        self.clear()
+
+    def clear(self) -> None:
+        self.old, self.new = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))] * 2
+        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.asarray(x.ids, np.uint32) for x in self.library.encode_batch(texts, add_special_tokens=False)]
+
+    def ids_of(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pre-tokens and their counts. Words with a space go in long runs, which cost less a word."""
+        word = np.asarray([x[0] == " " and x[1:].isalpha() for x in parts], bool)
+        ids: list[np.ndarray | None] = [None] * len(parts)
+        rest = np.flatnonzero(~word).tolist()
+        for k, x in zip(rest, self.whole([parts[k] for k in rest]), strict=True):
+            ids[k] = x
+        runs = np.flatnonzero(word).tolist()
+        for a in range(0, len(runs), 500):
+            run = runs[a : a + 500]
+            found = self.library.encode("".join(parts[k] for k in run), add_special_tokens=False)
+            split = np.split(np.asarray(found.ids, np.uint32), np.flatnonzero(np.diff(np.asarray(found.word_ids))) + 1)
+            for k, x in zip(run, split, strict=True):
+                ids[k] = x
+        return np.concatenate(ids), np.fromiter(map(len, ids), np.int64, len(ids))
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        start, size, known = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        for table, starts, sizes in (self.old, self.new):
+            if len(table):
+                at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+                hit = table[at] == keys
+                known |= hit
+                start[hit], size[hit] = starts[at[hit]], sizes[at[hit]]
+        return start, size, known
+
+    def learn(self, keys: np.ndarray, parts: list[str]) -> None:
+        """keys: sorted."""
+        if len(self.old[0]) + len(self.new[0]) + len(keys) > ENTRIES:
+            self.clear()
+        ids, sizes = self.ids_of(parts)
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.append(self.pool, np.zeros(len(self.pool), np.uint32))
+        self.pool[self.used : self.used + len(ids)] = ids
+        starts = self.used + np.cumsum(sizes) - sizes
+        self.used += len(ids)
+        self.new = self.merge(self.new, (keys, starts, sizes))
+        if len(self.new[0]) > RECENT:
+            self.old, self.new = self.merge(self.old, self.new), (keys[:0], starts[:0], sizes[:0])
+
+    @staticmethod
+    def merge(x, y):
+        at = np.searchsorted(x[0], y[0])
+        return tuple(np.insert(a, at, b) for a, b in zip(x, y, strict=True))
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        strange = foreign(data, offsets) if len(data) else np.zeros(len(offsets) - 1, bool)
+        if strange.any():
+            counts, parts = [], []
+            for k in range(len(offsets) - 1):
+                piece = data[offsets[k] : offsets[k + 1]]
+                ids = self.whole([piece.tobytes().decode("utf-8", "replace")])[0] if strange[k] else self.encode(piece, np.asarray([0, len(piece)]))[0]
+                parts.append(ids)
+                counts.append(len(ids))
+            return np.concatenate(parts), np.concatenate([[0], np.cumsum(counts)])
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
+        starts = boundaries(data, offsets)
+        ends = np.append(starts[1:], len(data))
+        keys, first, which = np.unique(span(prefix(TABLE[data]), starts, ends), return_index=True, return_inverse=True)
+        begin, size, known = self.find(keys)
+        if not known.all():
+            text = data.tobytes()
+            self.learn(keys[~known], [text[a:b].decode() for a, b in zip(starts[first[~known]].tolist(), ends[first[~known]].tolist(), strict=True)])
+            begin, size, known = self.find(keys)
+            if not known.all():  # the table was emptied
+                self.learn(keys[~known], [text[a:b].decode() for a, b in zip(starts[first[~known]].tolist(), ends[first[~known]].tolist(), strict=True)])
+                begin, size, _ = self.find(keys)
+        sizes = size[which]
+        ids = self.pool[np.repeat(begin[which], sizes) + ranges(sizes)]
+        total = np.concatenate([[0], np.cumsum(sizes)])
+        return ids, total[np.searchsorted(starts, offsets)]
 
 
 @lru_cache(maxsize=2)
