@@ -9,8 +9,15 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
+#: Small Arrow batches, since texts are long: rows and bytes a batch, unless the session sets its own.
+ARROW_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
 def ship(spark: SparkSession) -> None:
     """Makes this package importable in Python workers; once a SparkContext."""
+    for key, value in ARROW_BATCH.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
     context = spark.sparkContext
     if getattr(context, "_stepforge_shipped", False):
         return
