@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stepforge.session import ship
 
-from . import chat, decontaminate, jaccard, langid, linededup, packing, quality, tokenstore
+from . import chat, decontaminate, jaccard, langid, linededup, packing, phrases, quality, suffixes, tokenstore
 from .common import Workspace
 
 
@@ -31,6 +31,16 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffixes.dedup_substrings(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = phrases.dedup_phrases(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+
+
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenstore.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -61,7 +71,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_language_id, op3_line_dedup, op6_token_store, op7_chat_formatting, op8_quality_rules, op9_decontamination, op10_ngram_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_language_id, op3_line_dedup, op4_suffix_dedup, op5_substring_dedup, op6_token_store, op7_chat_formatting, op8_quality_rules, op9_decontamination, op10_ngram_jaccard)}
 
 ORACLES = {
     "op3_line_dedup": r"""
@@ -75,6 +85,16 @@ m as (select l.doc_id, l.i, l.line, r.k is not null and r.keeper <> l.doc_id gon
 select doc_id, count(*) n_lines, count(*) filter (where gone) n_dropped,
        sha256(coalesce(string_agg(line, chr(10) order by i) filter (where not gone), '')) kept_sha256
 from m group by doc_id""",
+    "op5_substring_dedup": r"""
+with w as (select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') ws from documents),
+g as (select doc_id, i, array_to_string(ws[i:i+12], ' ') g from w, unnest(range(1, greatest(len(ws) - 11, 1))) t(i)),
+f as (select g, min(doc_id) first from g group by g),
+r as (select distinct g.doc_id, unnest(range(g.i, g.i + 13)) i from g join f using (g) where g.doc_id > f.first),
+k as (select w.doc_id, t.i, w.ws[t.i] word, r.i is not null gone from w, unnest(range(1, len(w.ws) + 1)) t(i)
+      left join r on r.doc_id = w.doc_id and r.i = t.i)
+select w.doc_id, cast(len(any_value(w.ws)) as bigint) n_words, count(k.i) filter (where k.gone) n_removed,
+       sha256(coalesce(string_agg(k.word, ' ' order by k.i) filter (where not k.gone), '')) kept_sha256
+from w left join k on k.doc_id = w.doc_id group by w.doc_id""",
     "op7_chat_formatting": r"""
 with c as (select conv_id, turn, coalesce(role, '') r, coalesce(text, '') t from conversations
            union all select -7, 0, 'user', '\### Assistant: </turn> ok' union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'),
