@@ -1,4 +1,5 @@
 """Registered queries over the driver's tables and their SQL equivalents."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from stepforge.plans.queries import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
