@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame
 
 #: log2 of the bits in the table (32 MB), and the values that a task gathers before it sends them.
 TABLE_BITS, FLUSH = 28, 2_000_000
-SLICE_BITS = 8
+#: Input bytes for each slice (a slice's task sorts about a tenth of that), and bounds of log2 of their number.
+SLICE_BYTES, LEAST_BITS, MOST_BITS = 2 << 20, 6, 20
 
 
 def hits(table: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -25,16 +26,24 @@ def hits(table: np.ndarray, values: np.ndarray) -> np.ndarray:
     return (table[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
+def slice_bits(df: DataFrame) -> int:
+    """log2 of the number of slices, from the plan's estimate of its input size."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return min(MOST_BITS, max(LEAST_BITS, (size // SLICE_BYTES).bit_length()))
+
+
 def repeated(df: DataFrame, extract: Callable[[pa.RecordBatch], Iterator[np.ndarray]]) -> np.ndarray:
     """The bit table of the values that extract yields at least twice over all batches of df."""
 
+    bits_of_slice = slice_bits(df)
+
     def send(parts: list[np.ndarray]) -> pa.RecordBatch:
         values = np.sort(np.concatenate(parts))
         if len(values) > 2:
             third = np.zeros(len(values), bool)
             third[2:] = values[2:] == values[:-2]
             values = values[~third]
-        cuts = np.searchsorted(values, np.arange(1 << SLICE_BITS, dtype=np.uint64) << np.uint64(64 - SLICE_BITS))
+        cuts = np.searchsorted(values, np.arange(1 << bits_of_slice, dtype=np.uint64) << np.uint64(64 - bits_of_slice))
         chunks = np.split(values, cuts[1:])
         keep = [(k, c.tobytes()) for k, c in enumerate(chunks) if len(c)]
         return pa.RecordBatch.from_arrays([pa.array([k for k, _ in keep], pa.int32()), pa.array([c for _, c in keep], pa.binary())], names=["slice", "packed"])
@@ -51,10 +60,9 @@ def repeated(df: DataFrame, extract: Callable[[pa.RecordBatch], Iterator[np.ndar
         if size:
             yield send(parts)
 
-    segment = 1 << (TABLE_BITS - SLICE_BITS)
+    segment = 1 << (TABLE_BITS - bits_of_slice)
 
     def mark(pdf: pd.DataFrame) -> pd.DataFrame:
-        # one slice in steps of its upper bits keeps the sorted part small
         values = np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["packed"]]))
         twice = values[1:][values[1:] == values[:-1]]
         bits = np.zeros(segment, np.uint8)

@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import anchors
@@ -30,6 +30,8 @@ from .components import components
 from .kernels import prefix, ranges, signed, slices, span, word_hashes, words
 
 GROUPS = 64
+#: Larger sets get a finer count vector besides, for pairs: bits of the hash that make its groups, by least size.
+FINE_BITS = ((8192, 12), (2048, 10), (512, 8))
 SKETCH_BITS, SKETCH_SLICES = 18, 16
 #: Keys with more members are dealt out by size band as well.
 HOT_KEY = 512
@@ -89,13 +91,34 @@ def frequency_levels(docs: DataFrame, width: int) -> np.ndarray:
     return np.log2(total.ravel() + 1).astype(np.uint8)
 
 
+def fine_vector(found: np.ndarray) -> bytes:
+    """Counts by finer groups (their width, then their bits, then the counts), or nothing for a small set."""
+    for least, bits in FINE_BITS:
+        if len(found) >= least:
+            counts = np.bincount((found >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+            width = 1 if counts.max() < 256 else 2 if counts.max() < 65536 else 4
+            return bytes([width, bits]) + counts.astype(f"<u{width}").tobytes()
+    return b""
+
+
+def fine_overlap(x: bytes, y: bytes) -> int | None:
+    """Summed minima of two fine vectors at the coarser one's groups; None where one has none."""
+    if not x or not y:
+        return None
+    a, b = (np.frombuffer(v, f"<u{v[0]}", offset=2).astype(np.int64) for v in (x, y))
+    if len(a) != len(b):
+        n = min(len(a), len(b))
+        a, b = a.reshape(n, -1).sum(axis=1), b.reshape(n, -1).sum(axis=1)
+    return int(np.minimum(a, b).sum())
+
+
 def features(docs: DataFrame, levels: np.ndarray, width: int, percent: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches):
         levels = shared.value
         for batch in batches:
-            n, h1, h2, vectors, keys = [], [], [], [], []
+            n, h1, h2, vectors, fine, keys = [], [], [], [], [], []
             for _, found in shingle_sets(batch.column(1), width):
                 n.append(len(found))
                 sums = prefix(found)
@@ -104,12 +127,13 @@ def features(docs: DataFrame, levels: np.ndarray, width: int, percent: int) -> D
                 h2.append(int(signed(np.asarray([np.bitwise_xor.reduce(found * np.uint64(0x9FB21C651E98DF25) ^ found >> np.uint64(29), initial=np.uint64(0))]))[0]))
                 groups = np.bincount((found >> np.uint64(58)).astype(np.int64), minlength=GROUPS)
                 vectors.append(groups.astype("<u2").tobytes() if groups.max(initial=0) < 65536 else b"")
+                fine.append(fine_vector(found))
                 long = len(found) - -(-percent * len(found) // 100) + 1 if len(found) else 0
                 rank = levels[(found >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(56) | found & np.uint64((1 << 56) - 1)
                 keys.append(found[np.argpartition(rank, long - 1)[:long]].tobytes() if long else b"")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(vectors, pa.binary()), pa.array(keys, pa.binary())], names=["doc_id", "n", "h1", "h2", "vector", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(vectors, pa.binary()), pa.array(fine, pa.binary()), pa.array(keys, pa.binary())], names=["doc_id", "n", "h1", "h2", "vector", "fine", "keys"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, vector binary, keys binary")
+    return docs.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, vector binary, fine binary, keys binary")
 
 
 def key_values(batch: pa.RecordBatch):
@@ -146,10 +170,13 @@ def bounded(edges: DataFrame, featured: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             n1, n2 = (batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 3))
             overlap = np.minimum(vectors_of(batch.column(4).to_pylist()), vectors_of(batch.column(5).to_pylist())).sum(axis=1)
+            for k, (x, y) in enumerate(zip(batch.column(6).to_pylist(), batch.column(7).to_pylist(), strict=True)):
+                if (finer := fine_overlap(x, y)) is not None:
+                    overlap[k] = min(overlap[k], finer)
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(overlap >= need(n1, n2, percent)))
 
-    side = lambda x: featured.select(F.col("doc_id").alias(x), F.col("vector").alias(f"v{x}"))
-    return edges.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "va", "vb").mapInArrow(run, "a long, b long")
+    side = lambda x: featured.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("vector").alias(f"v{x}"), F.col("fine").alias(f"f{x}"))
+    return edges.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "va", "vb", "fa", "fb").mapInArrow(run, "a long, b long").distinct()
 
 
 def tree_pairs(vectors: np.ndarray, sizes: np.ndarray, labels: np.ndarray, percent: int):
@@ -270,7 +297,7 @@ def link(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     centers = work.save(centers.select("key", F.col("c.doc_id").alias("a"), F.col("c.n").alias("na"), "members"), "centers")
     fits = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
     star = rows.select("key", F.col("doc_id").alias("b"), F.col("n").alias("nb")).join(centers, "key").filter("a <> b").filter(fits)
-    first = work.save(bounded(star.select("a", "b", "na", "nb").distinct(), featured, percent), "star")
+    first = work.save(bounded(star.select("a", "b").distinct(), featured, percent), "star")
     links = verified(first, docs, work, "star", width, percent)
     labels = work.save(components(links, work, "first"), "labels")
 
@@ -280,9 +307,14 @@ def link(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(np.log(100 / percent))).cast("int")
     bands = F.when(F.col("members") > HOT_KEY, F.array(F.struct(band.alias("band"), F.lit(True).alias("home")), F.struct((band + 1).alias("band"), F.lit(False).alias("home")))).otherwise(F.array(F.struct(F.lit(-1).alias("band"), F.lit(True).alias("home"))))
     dealt = labelled.join(open_keys, "key").select("key", "n", "doc_id", "label", F.explode(bands).alias("x"))
+    # a member stays if its neighbour by size in the group is near enough
+    by_size = Window.partitionBy("key", "x.band").orderBy("n", "doc_id")
+    near = lambda other: 100 * F.least("n", other) >= percent * F.greatest("n", other)
+    dealt = dealt.withColumn("_near", F.coalesce(near(F.lag("n").over(by_size)), F.lit(False)) | F.coalesce(near(F.lead("n").over(by_size)), F.lit(False))).filter("_near").drop("_near")
     dealt = dealt.join(featured.select("doc_id", "vector"), "doc_id").select("key", "x.band", "n", "doc_id", "x.home", "label", "vector")
     candidates = dealt.repartition("key", "band").sortWithinPartitions("key", "band", "n", "doc_id").mapInArrow(partial(tree_join, percent=percent), "a long, b long").distinct()
-    more = verified(work.save(candidates, "tree"), docs, work, "tree", width, percent)
+    candidates = bounded(work.save(candidates, "tree"), featured, percent)
+    more = verified(work.save(candidates, "pairs"), docs, work, "tree", width, percent)
 
     final = components(links.unionByName(more), work, "final")
     out = featured.select("doc_id", F.col("n").alias("n_shingles")).join(copies, "doc_id", "left").withColumn("node", F.coalesce("first", "doc_id"))

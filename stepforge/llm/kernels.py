@@ -11,7 +11,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
+pa.set_memory_pool(pa.system_memory_pool())  # returns freed batches, unlike the pooling default
 R = 0x9E3779B97F4A7C15
 R_INVERSE = pow(R, -1, 1 << 64)
 SPACE = np.zeros(256, bool)

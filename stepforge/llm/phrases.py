@@ -24,12 +24,12 @@ from .common import Workspace
 from .kernels import signed, slices, span, words
 from .superwindows import cut, keyed, text_slices, word_units
 
-ANCHOR_WORDS = 3
+ANCHOR_WORDS = 5
 #: Passages compiled together, and passages with one anchor from which windows are compared by a shuffle instead.
 SHARD_PASSAGES, HOT_ANCHOR = 10_000, 10_000
 
 ROWS = "m long, u long, doc long, tag long, lo int, n int"
-SPAN = "doc long, tag long, s long, e long"
+SPAN = "tag long, s long, e long"
 PASSAGE = "m long, u long, doc long, tag long, lo int, n int, body binary"
 
 
@@ -79,8 +79,8 @@ def passages(batches, window: int):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["m", "u", "doc", "tag", "lo", "n", "body"])
 
 
-def find_phrases(group: list[tuple], window: int) -> list[tuple[int, int, int, int]]:
-    """Spans (doc, tag, s, e) of the windows in passages (m, u, doc, tag, lo, n, body) that a smaller document holds too."""
+def find_phrases(group: list[tuple], window: int) -> list[tuple[int, int, int]]:
+    """Spans (tag, s, e) of the windows in passages (m, u, doc, tag, lo, n, body) that a smaller document holds too."""
     numbers: dict[bytes, int] = {}
     coded = [tuple(numbers.setdefault(w, len(numbers) + 1) for w in x[6].split(b" ")) for x in group]
     least: dict[tuple, int] = {}
@@ -105,7 +105,7 @@ def find_phrases(group: list[tuple], window: int) -> list[tuple[int, int, int, i
         for end, first in automaton.iter(ids):
             if first < x[2]:
                 s = x[4] + end - window + 1
-                out.append((x[2], x[3], s, s + window))
+                out.append((x[3], s, s + window))
     return out
 
 
@@ -114,7 +114,7 @@ def search_shards(batches, window: int):
 
     def flush(group: list):
         if found := find_phrases(group, window):
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["doc", "tag", "s", "e"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["tag", "s", "e"])
 
     group: list = []
     for batch in batches:
@@ -138,25 +138,25 @@ def single_windows(batches, window: int):
 
 
 def repeated_spans(keyed_docs: DataFrame, work: Workspace, window: int, hot_anchor: int = HOT_ANCHOR) -> DataFrame:
-    """doc, tag, s, e: word ranges that together cover exactly the words to remove."""
+    """tag, s, e: word ranges that together cover exactly the words to remove."""
     table = anchors.repeated(keyed_docs.select("text"), partial(anchor_values, window=window))
     rows = work.save(candidate_rows(keyed_docs, table, window), "rows")
-    distinct = work.save(rows.groupBy("m", "u").agg(F.min(F.struct("doc", "tag", "lo", "n")).alias("x"), F.max("doc").alias("last")), "distinct")
-    several = distinct.filter("last > x.doc").select("m", "u", F.col("x.doc").alias("first"))
-    whole = rows.join(several, ["m", "u"]).filter("doc > first").select("doc", "tag", F.col("lo").cast("long").alias("s"), (F.col("lo") + F.col("n") - 1 + window).cast("long").alias("e"))
+    distinct = work.save(rows.groupBy("m", "u").agg(F.min("doc").alias("first"), F.max("doc").alias("last")), "distinct")
+    several = distinct.filter("last > first").select("m", "u", "first")
+    whole = rows.join(several, ["m", "u"]).filter("doc > first").select("tag", F.col("lo").cast("long").alias("s"), (F.col("lo") + F.col("n") - 1 + window).cast("long").alias("e"))
 
     # kinds of one anchor in different documents: the first document of each kind is still open, in each of its places
-    unclear = distinct.groupBy("m").agg(F.count("*").alias("kinds"), F.min("x.doc").alias("low"), F.max("x.doc").alias("high")).filter("kinds > 1 and low < high").select("m", "kinds")
-    chosen = distinct.join(unclear, "m").select("m", "u", F.col("x.doc").alias("first"))
-    chosen = rows.join(chosen, ["m", "u"]).filter("doc = first").groupBy("doc", "tag").agg(F.collect_list(F.struct("m", "u", "lo", "n")).alias("found"))
-    bodies = work.save(keyed_docs.join(chosen, ["doc", "tag"]).select("doc", "tag", "text", "found").mapInArrow(partial(passages, window=window), PASSAGE), "passages")
+    unclear = distinct.groupBy("m").agg(F.count("*").alias("kinds"), F.min("first").alias("low"), F.max("first").alias("high")).filter("kinds > 1 and low < high").select("m", "kinds")
+    chosen = distinct.join(unclear, "m").select("m", "u", "first")
+    chosen = rows.join(chosen, ["m", "u"]).filter("doc = first").groupBy("tag").agg(F.collect_list(F.struct("m", "u", "lo", "n")).alias("found"))
+    bodies = work.save(keyed_docs.join(chosen, "tag").select("doc", "tag", "text", "found").mapInArrow(partial(passages, window=window), PASSAGE), "passages")
     hot = work.save(unclear.filter(F.col("kinds") > hot_anchor).select("m"), "hot")
     cool = bodies.join(hot, "m", "left_anti").select("m", "u", "doc", "tag", "lo", "n", "body")
     spans = whole.unionByName(cool.repartition("m").sortWithinPartitions("m").mapInArrow(partial(search_shards, window=window), SPAN))
     if hot.count():
         each = work.save(bodies.join(hot, "m", "left_semi").select("m", "u", "doc", "tag", "lo", "n", "body").mapInArrow(partial(single_windows, window=window), "w binary, doc long, tag long, s long"), "windows")
         least = each.groupBy("w").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").select("w", "first")
-        spans = spans.unionByName(each.join(least, "w").filter("doc > first").select("doc", "tag", "s", (F.col("s") + window).alias("e")))
+        spans = spans.unionByName(each.join(least, "w").filter("doc > first").select("tag", "s", (F.col("s") + window).alias("e")))
     return spans
 
 
@@ -190,7 +190,7 @@ def dedup_phrases(docs: DataFrame, window: int = 13, hot_anchor: int = HOT_ANCHO
     """
     work = Workspace(docs.sparkSession, "phrases")
     base = keyed(docs)
-    spans = repeated_spans(base, work, window, hot_anchor).groupBy("doc", "tag").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
-    joined = base.join(spans, ["doc", "tag"], "left").select("doc", "text", "spans")
+    spans = repeated_spans(base, work, window, hot_anchor).groupBy("tag").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    joined = base.join(spans, "tag", "left").select("doc", "text", "spans")
     out = joined.mapInArrow(keep_words, T.StructType([T.StructField("doc", T.LongType()), T.StructField("kept", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())]))
     return out.select(F.nullif(F.col("doc"), F.lit(-(1 << 63))).alias("doc_id"), "kept", "n_words", "n_removed")

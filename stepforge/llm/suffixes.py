@@ -23,7 +23,7 @@ from .common import Workspace
 from .kernels import signed, span
 from .superwindows import byte_units, cut, keyed, text_slices
 
-ANCHOR_BYTES = 24
+ANCHOR_BYTES = 48
 #: Windows in a piece, which its strings determine by this many symbols.
 STEP = 16
 #: Strings sorted together, and strings with one core from which windows are counted by a shuffle instead.
@@ -88,9 +88,9 @@ def repeated_windows(cores: np.ndarray, lefts: list[bytes], rights: list[bytes])
     return np.split(start, np.searchsorted(string, np.arange(1, m)))
 
 
-ROWS = "m long, u long, doc long, tag long, lo long, n int, a int"
-SPAN = "doc long, tag long, s long, e long"
-PIECE = "c1 long, c2 long, single boolean, doc long, tag long, s long, l binary, r binary"
+ROWS = "m long, u long, tag long, lo long, n int, a int"
+SPAN = "tag long, s long, e long"
+PIECE = "c1 long, c2 long, single boolean, tag long, s long, l binary, r binary"
 
 
 def anchor_values(batch: pa.RecordBatch, window: int):
@@ -103,24 +103,24 @@ def candidate_rows(docs: DataFrame, table: np.ndarray, window: int) -> DataFrame
 
     def run(batches):
         for batch in batches:
-            doc, tag = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            for row, units, _, _ in text_slices(batch, 2, byte_units):
+            tag = batch.column(0).to_numpy(zero_copy_only=False)
+            for row, units, _, _ in text_slices(batch, 1, byte_units):
                 text, lo, n, anchor, value = cut(units, window, ANCHOR_BYTES)
                 keep = anchors.hits(shared.value, value)
                 text, lo, n, anchor, value = text[keep], lo[keep], n[keep], anchor[keep], value[keep]
                 if len(text):
                     whole = span(units.first, lo, lo + n - 1 + window)
-                    arrays = (signed(value), signed(whole), doc[row + text], tag[row + text], lo - units.offsets[text], n.astype(np.int32), (anchor - lo).astype(np.int32))
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["m", "u", "doc", "tag", "lo", "n", "a"])
+                    arrays = (signed(value), signed(whole), tag[row + text], lo - units.offsets[text], n.astype(np.int32), (anchor - lo).astype(np.int32))
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["m", "u", "tag", "lo", "n", "a"])
 
-    return docs.mapInArrow(run, ROWS)
+    return docs.select("tag", "text").mapInArrow(run, ROWS)
 
 
 def cut_pieces(batches, window: int):
-    """Pieces of STEP windows at fixed places before the anchor; columns doc, tag, text, found (single, lo, n, a)."""
+    """Pieces of STEP windows at fixed places before the anchor; columns tag, text, found (single, lo, n, a)."""
     for batch in batches:
-        found, doc, tag = batch.column(3).to_pylist(), batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for row, units, data, offsets in text_slices(batch, 2, byte_units):
+        found, tag = batch.column(2).to_pylist(), batch.column(0).to_pylist()
+        for row, units, data, offsets in text_slices(batch, 1, byte_units):
             rows, cores = [], []
             blob = data.tobytes()
             for t in range(len(offsets) - 1):
@@ -132,12 +132,12 @@ def cut_pieces(batches, window: int):
                         low = high - STEP + 1
                         s, last = max(lo, low), min(hi, high)
                         cores.append((base + high, base + low + window))
-                        rows.append((x["single"], doc[row + t], tag[row + t], s, blob[base + s : base + high], blob[base + low + window : base + last + window]))
+                        rows.append((x["single"], tag[row + t], s, blob[base + s : base + high], blob[base + low + window : base + last + window]))
             if rows:
                 at = np.asarray(cores, np.int64)
                 lanes = [pa.array(signed(span(sums, at[:, 0], at[:, 1]))) for sums in (units.first, units.second)]
-                types = (pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays(lanes + [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["c1", "c2", "single", "doc", "tag", "s", "l", "r"])
+                types = (pa.bool_(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays(lanes + [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["c1", "c2", "single", "tag", "s", "l", "r"])
 
 
 def sort_shards(batches, window: int):
@@ -152,11 +152,11 @@ def sort_shards(batches, window: int):
         if not group:
             return
         out = []
-        for x, starts in zip(group, repeated_windows(np.asarray([x[:2] for x in group], np.int64), [x[6] for x in group], [x[7] for x in group]), strict=True):
+        for x, starts in zip(group, repeated_windows(np.asarray([x[:2] for x in group], np.int64), [x[5] for x in group], [x[6] for x in group]), strict=True):
             if x[2]:
-                out += [(x[3], x[4], x[5] + int(k), x[5] + int(k) + window) for k in starts]
+                out += [(x[3], x[4] + int(k), x[4] + int(k) + window) for k in starts]
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["doc", "tag", "s", "e"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["tag", "s", "e"])
 
     group: list = []
     for batch in batches:
@@ -172,32 +172,32 @@ def hot_windows(batches):
     """The windows of pieces one by one: c1, c2, w (what surrounds the core), and where they start."""
     for batch in batches:
         rows = []
-        for c1, c2, single, doc, tag, s, left, right in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for c1, c2, single, tag, s, left, right in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             for k in range(len(left) + len(right) + 2 - STEP):
-                rows.append((c1, c2, bytes([len(left) - k]) + left[k:] + right[: STEP - 1 - len(left) + k], single, doc, tag, s + k))
+                rows.append((c1, c2, bytes([len(left) - k]) + left[k:] + right[: STEP - 1 - len(left) + k], single, tag, s + k))
         if rows:
-            types = (pa.int64(), pa.int64(), pa.binary(), pa.bool_(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["c1", "c2", "w", "single", "doc", "tag", "s"])
+            types = (pa.int64(), pa.int64(), pa.binary(), pa.bool_(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["c1", "c2", "w", "single", "tag", "s"])
 
 
 def repeated_spans(keyed_docs: DataFrame, work: Workspace, window: int, hot_core: int = HOT_CORE) -> DataFrame:
-    """doc, tag, s, e: byte ranges that together cover exactly the repeated strings."""
+    """tag, s, e: byte ranges that together cover exactly the repeated strings."""
     table = anchors.repeated(keyed_docs.select("text"), partial(anchor_values, window=window))
     rows = work.save(candidate_rows(keyed_docs, table, window), "rows")
-    distinct = work.save(rows.groupBy("m", "u").agg(F.count("*").alias("times"), F.min(F.struct("doc", "tag", "lo", "n", "a")).alias("x")), "distinct")
-    whole = rows.join(distinct.filter("times > 1").select("m", "u"), ["m", "u"], "left_semi").select("doc", "tag", F.col("lo").alias("s"), (F.col("lo") + F.col("n") - 1 + window).alias("e"))
+    distinct = work.save(rows.groupBy("m", "u").agg(F.count("*").alias("times"), *[F.first(c).alias(c) for c in ("tag", "lo", "n", "a")]), "distinct")
+    whole = rows.join(distinct.filter("times > 1").select("m", "u"), ["m", "u"], "left_semi").select("tag", F.col("lo").alias("s"), (F.col("lo") + F.col("n") - 1 + window).alias("e"))
 
     unclear = distinct.groupBy("m").agg(F.count("*").alias("kinds"), F.min("times").alias("least")).filter("kinds > 1 and least = 1").select("m")
-    chosen = distinct.join(unclear, "m", "left_semi").select("x.doc", "x.tag", F.struct((F.col("times") == 1).alias("single"), "x.lo", "x.n", "x.a").alias("y")).groupBy("doc", "tag").agg(F.collect_list("y").alias("found"))
-    pieces = work.save(keyed_docs.join(chosen, ["doc", "tag"]).select("doc", "tag", "text", "found").mapInArrow(partial(cut_pieces, window=window), PIECE), "pieces")
+    chosen = distinct.join(unclear, "m", "left_semi").select("tag", F.struct((F.col("times") == 1).alias("single"), "lo", "n", "a").alias("y")).groupBy("tag").agg(F.collect_list("y").alias("found"))
+    pieces = work.save(keyed_docs.join(chosen, "tag").select("tag", "text", "found").mapInArrow(partial(cut_pieces, window=window), PIECE), "pieces")
 
     hot = work.save(pieces.groupBy("c1", "c2").count().filter(F.col("count") > hot_core).select("c1", "c2"), "hot")
-    cool = pieces.join(hot, ["c1", "c2"], "left_anti").select("c1", "c2", "single", "doc", "tag", "s", "l", "r")
+    cool = pieces.join(hot, ["c1", "c2"], "left_anti").select("c1", "c2", "single", "tag", "s", "l", "r")
     spans = whole.unionByName(cool.repartition("c1", "c2").sortWithinPartitions("c1", "c2").mapInArrow(partial(sort_shards, window=window), SPAN))
     if hot.count():
-        each = work.save(pieces.join(hot, ["c1", "c2"], "left_semi").select("c1", "c2", "single", "doc", "tag", "s", "l", "r").mapInArrow(hot_windows, "c1 long, c2 long, w binary, single boolean, doc long, tag long, s long"), "windows")
+        each = work.save(pieces.join(hot, ["c1", "c2"], "left_semi").select("c1", "c2", "single", "tag", "s", "l", "r").mapInArrow(hot_windows, "c1 long, c2 long, w binary, single boolean, tag long, s long"), "windows")
         twice = each.groupBy("c1", "c2", "w").count().filter("count > 1").drop("count")
-        spans = spans.unionByName(each.filter("single").join(twice, ["c1", "c2", "w"], "left_semi").select("doc", "tag", "s", (F.col("s") + window).alias("e")))
+        spans = spans.unionByName(each.filter("single").join(twice, ["c1", "c2", "w"], "left_semi").select("tag", "s", (F.col("s") + window).alias("e")))
     return spans
 
 
@@ -227,7 +227,7 @@ def dedup_substrings(docs: DataFrame, window: int = 200, hot_core: int = HOT_COR
     """
     work = Workspace(docs.sparkSession, "suffixes")
     base = keyed(docs)
-    spans = repeated_spans(base, work, window, hot_core).groupBy("doc", "tag").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
-    joined = base.join(spans, ["doc", "tag"], "left").select("doc", "text", "spans")
+    spans = repeated_spans(base, work, window, hot_core).groupBy("tag").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    joined = base.join(spans, "tag", "left").select("doc", "text", "spans")
     out = joined.mapInArrow(keep_rest, T.StructType([T.StructField("doc", T.LongType()), T.StructField("kept", T.BinaryType()), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans"))]))
     return out.select(F.nullif(F.col("doc"), F.lit(-(1 << 63))).alias("doc_id"), "kept", "n_bytes", "n_removed", "n_spans")

@@ -56,9 +56,9 @@ def cut(units: Units, window: int, k: int):
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc, tag and text: rows are told apart by doc_id and a hash of the text, so repeated rows do no harm."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), F.xxhash64(text).alias("tag"), text.alias("text"))
+    """doc, tag and text: rows are told apart by tag, a hash of doc_id and text, so repeated rows do no harm."""
+    text, doc = F.coalesce(F.col("text").cast("string"), F.lit("")), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    return docs.select(doc.alias("doc"), F.xxhash64(doc, text).alias("tag"), text.alias("text"))
 
 
 def text_slices(batch, column: int, make):

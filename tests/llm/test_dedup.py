@@ -87,7 +87,7 @@ def bytes_by_hand(texts, w):
     return Counter(out)
 
 
-@pytest.mark.parametrize(("window", "hot"), [(45, suffixes.HOT_CORE), (60, 1), (110, suffixes.HOT_CORE)])
+@pytest.mark.parametrize(("window", "hot"), [(64, suffixes.HOT_CORE), (70, 1), (110, suffixes.HOT_CORE)])
 def test_substrings(spark, window, hot):
     texts = patched(window, "abcdeé \n")
     out = suffixes.dedup_substrings(frame(spark, [(i % 110 if i % 11 else None, t) for i, t in enumerate(texts)]), window, hot).collect()
