@@ -28,7 +28,7 @@ def hits(table: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 def slice_bits(df: DataFrame) -> int:
     """log2 of the number of slices, from the plan's estimate of its input size."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return min(MOST_BITS, max(LEAST_BITS, (size // SLICE_BYTES).bit_length()))
 
 
