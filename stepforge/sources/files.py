@@ -73,4 +73,4 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def write_text(spark: SparkSession, content: str, path: str) -> None:
     """One small report file."""
-    spark.createDataFrame([(content,)], "value string").coalesce(1).write.mode("overwrite").option("lineSep", "").text(path)
+    spark.createDataFrame([(content,)], "value string").coalesce(1).write.mode("overwrite").text(path)
