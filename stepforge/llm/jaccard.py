@@ -32,7 +32,7 @@ from .kernels import prefix, ranges, signed, slices, span, word_hashes, words
 GROUPS = 64
 #: Larger sets get a finer count vector besides, for pairs: bits of the hash that make its groups, by least size.
 FINE_BITS = ((8192, 12), (2048, 10), (512, 8))
-SKETCH_BITS, SKETCH_SLICES = 18, 16
+SKETCH_BITS, SKETCH_SLICES = 22, 64
 #: Keys with more members are dealt out by size band as well.
 HOT_KEY = 512
 #: Up to this many ids of documents to verify are broadcast (8 bytes each); more are joined by a shuffle.
@@ -63,32 +63,35 @@ def shingle_sets(column, width: int):
 
 
 def frequency_levels(docs: DataFrame, width: int) -> np.ndarray:
-    """log2 of the number of sets that hold a shingle, by the upper SKETCH_BITS of its hash, over all documents."""
+    """log2 of the number of sets that hold a shingle, by the upper SKETCH_BITS of its hash, over all documents.
+
+    The sketch has 4 million counters of 32 bits in a task and one byte each when it is broadcast, at every scale.
+    """
     size = 1 << (SKETCH_BITS - SKETCH_SLICES.bit_length() + 1)
 
     def count(batches):
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
+        total = np.zeros(1 << SKETCH_BITS, np.uint32)
         for batch in batches:
-            for _, found in shingle_sets(batch.column(0), width):
-                np.add.at(total, (found >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1) if len(found) < 64 else None
-                if len(found) >= 64:
-                    total += np.bincount((found >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
+            found = [x for _, x in shingle_sets(batch.column(0), width)]
+            places, times = np.unique(np.concatenate(found) >> np.uint64(64 - SKETCH_BITS) if found else np.zeros(0, np.uint64), return_counts=True)
+            total[places.astype(np.int64)] += times.astype(np.uint32)
         lot = TaskContext.get().partitionId() % 64
         packed = [zlib.compress(x.tobytes(), 1) for x in total.reshape(SKETCH_SLICES, -1)]
         yield pa.RecordBatch.from_arrays([pa.array([lot] * SKETCH_SLICES, pa.int32()), pa.array(range(SKETCH_SLICES), pa.int32()), pa.array(packed, pa.binary())], names=["lot", "slice", "packed"])
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(size, np.int64)
+        total = np.zeros(size, np.uint32)
         for x in pdf["packed"]:
-            total += np.frombuffer(zlib.decompress(x), np.int64)
+            more = np.frombuffer(zlib.decompress(x), np.uint32)
+            total = np.where(total > np.uint32(0xFFFFFFFF) - more, np.uint32(0xFFFFFFFF), total + more)
         return pd.DataFrame([{"lot": int(pdf["lot"].iloc[0]), "slice": int(pdf["slice"].iloc[0]), "packed": zlib.compress(total.tobytes(), 1)}])
 
     schema = "lot int, slice int, packed binary"
     sums = docs.select("text").mapInArrow(count, schema).groupBy("lot", "slice").applyInPandas(add, schema).groupBy("slice").applyInPandas(add, schema)
-    total = np.zeros((SKETCH_SLICES, size), np.int64)
-    for row in sums.collect():  # SKETCH_SLICES rows
-        total[row["slice"]] = np.frombuffer(zlib.decompress(row["packed"]), np.int64)
-    return np.log2(total.ravel() + 1).astype(np.uint8)
+    levels = np.zeros((SKETCH_SLICES, size), np.uint8)
+    for row in sums.toLocalIterator():  # SKETCH_SLICES rows
+        levels[row["slice"]] = np.log2(np.frombuffer(zlib.decompress(row["packed"]), np.uint32) + 1.0)
+    return levels.ravel()
 
 
 def fine_vector(found: np.ndarray) -> bytes:
@@ -230,16 +233,21 @@ def tree_join(batches, percent: int):
     A group is read in runs of members; members too small to link with the next are let go.
     """
 
+    sent: set[tuple[int, int]] = set()  # pairs meet under several keys
+
     def flush(group: list):
+        if len(sent) > 500_000:
+            sent.clear()
         if len(group) > 1:
             n = np.asarray([x[0] for x in group], np.int64)
             ids, labels, home = (np.asarray([x[k] for x in group]) for k in (1, 3, 2))
             for i, j in tree_pairs(vectors_of([x[4] for x in group]), n, labels, percent):
                 at_home = home[i] | home[j]
                 i, j = i[at_home], j[at_home]
-                if len(i):
-                    a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                new = set(zip(np.minimum(ids[i], ids[j]).tolist(), np.maximum(ids[i], ids[j]).tolist(), strict=True)) - sent
+                if new:
+                    sent.update(new)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*new, strict=True)], names=["a", "b"])
 
     name, group = None, []
     for batch in batches:
@@ -292,6 +300,7 @@ def link(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
 
     table = anchors.repeated(featured.select("keys"), key_values)
     rows = work.save(key_rows(featured, table).join(copies, "doc_id", "left_anti"), "rows")
+    del table
 
     centers = rows.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("c"), F.count("*").alias("members")).filter("members > 1")
     centers = work.save(centers.select("key", F.col("c.doc_id").alias("a"), F.col("c.n").alias("na"), "members"), "centers")
@@ -299,10 +308,13 @@ def link(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     star = rows.select("key", F.col("doc_id").alias("b"), F.col("n").alias("nb")).join(centers, "key").filter("a <> b").filter(fits)
     first = work.save(bounded(star.select("a", "b").distinct(), featured, percent), "star")
     links = verified(first, docs, work, "star", width, percent)
-    labels = work.save(components(links, work, "first"), "labels")
+    # two steps towards the least linked member; members with one label are in one component for certain
+    towards = links.groupBy(F.col("b").alias("doc_id")).agg(F.min("a").alias("to"))
+    further = towards.select(F.col("doc_id").alias("to"), F.col("to").alias("further"))
+    labels = work.save(towards.join(further, "to", "left").select("doc_id", F.coalesce("further", "to").alias("component")), "labels")
 
     # members of a key that are not yet in one component
-    labelled = rows.join(centers.select("key", "members"), "key").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id"))
+    labelled = rows.join(centers.select("key", "members"), "key").join(labels, "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id"))
     open_keys = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(np.log(100 / percent))).cast("int")
     bands = F.when(F.col("members") > HOT_KEY, F.array(F.struct(band.alias("band"), F.lit(True).alias("home")), F.struct((band + 1).alias("band"), F.lit(False).alias("home")))).otherwise(F.array(F.struct(F.lit(-1).alias("band"), F.lit(True).alias("home"))))
