@@ -114,7 +114,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80) -> DataFrame
         hits = runs.join(hint(wanted.filter(F.col("k") == k)), "h").select("doc_id", "n_doc", "item_id", "n", "k", "m", "need", "p")
         found = hits if found is None else found.unionByName(hits)
     if found is None:
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, start int, similarity double")
+        return docs.sparkSession.sql("select cast(null as long) doc_id, cast(null as long) item_id, 0 start, 0D similarity where false")
 
     # shorter documents make one window; theirs have fewer shingles, and need as large a share of the item's
     pairs = found.groupBy("doc_id", "item_id", "n_doc", "n", "k", "m", "need").agg(F.array_sort(F.collect_set("p")).alias("at"))

@@ -125,6 +125,7 @@ def judge(docs: DataFrame, rules=RULES, keep_from: float = 0.5, save=lambda df:
     patterns = {r[0]: r[1] for r in voted.groupBy("votes").count().collect()}  # at most 3 ** rules rows
     _, _, quality = estimate(patterns)
     spark = docs.sparkSession
-    posteriors = F.broadcast(spark.createDataFrame([*quality.items()] or [("", 0.5)], "votes string, quality double"))
+    values = ", ".join(f"('{p}', {q!r}D)" for p, q in (quality or {"": 0.5}).items())
+    posteriors = F.broadcast(spark.sql(f"select * from values {values} as t(votes, quality)"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return voted.join(posteriors, "votes").withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("quality") >= keep_from))
