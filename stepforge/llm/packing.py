@@ -176,7 +176,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id:
         end = np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
-            for a, b, raw, offsets in slices(texts):
+            for a, b, raw, offsets in slices(texts, 1 << 20):
                 rows = []
                 found, bounds = encoder.encode(raw, offsets)
                 for k, doc in enumerate(ids[a:b].to_pylist()):

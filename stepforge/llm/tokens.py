@@ -88,21 +88,30 @@ class Encoder:
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.asarray(x.ids, np.uint32) for x in self.library.encode_batch(texts, add_special_tokens=False)]
 
-    def ids_of(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of pre-tokens and their counts. Words with a space go in long runs, which cost less a word."""
+    def ids_of(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of pre-tokens in some order, where each one's begin, and how many it has.
+
+        Words with a space go to the library in long runs, which cost less a word.
+        """
         word = np.asarray([x[0] == " " and x[1:].isalpha() for x in parts], bool)
-        ids: list[np.ndarray | None] = [None] * len(parts)
-        rest = np.flatnonzero(~word).tolist()
-        for k, x in zip(rest, self.whole([parts[k] for k in rest]), strict=True):
-            ids[k] = x
-        runs = np.flatnonzero(word).tolist()
-        for a in range(0, len(runs), 500):
-            run = runs[a : a + 500]
-            found = self.library.encode("".join(parts[k] for k in run), add_special_tokens=False)
-            split = np.split(np.asarray(found.ids, np.uint32), np.flatnonzero(np.diff(np.asarray(found.word_ids))) + 1)
-            for k, x in zip(run, split, strict=True):
-                ids[k] = x
-        return np.concatenate(ids), np.fromiter(map(len, ids), np.int64, len(ids))
+        starts, sizes = np.zeros(len(parts), np.int64), np.zeros(len(parts), np.int64)
+        pieces, total = [], 0
+        rest = np.flatnonzero(~word)
+        single = self.whole([parts[k] for k in rest])
+        sizes[rest] = [len(x) for x in single]
+        starts[rest] = np.cumsum(sizes[rest]) - sizes[rest]
+        pieces += single
+        total = int(sizes[rest].sum())
+        places = np.flatnonzero(word)
+        for a in range(0, len(places), 500):
+            run = places[a : a + 500]
+            found = self.library.encode("".join([parts[k] for k in run]), add_special_tokens=False)
+            ids = np.asarray(found.ids, np.uint32)
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(np.asarray(found.word_ids, np.int64))) + 1, [len(ids)]])
+            starts[run], sizes[run] = total + cuts[:-1], np.diff(cuts)
+            pieces.append(ids)
+            total += len(ids)
+        return np.concatenate(pieces) if pieces else np.zeros(0, np.uint32), starts, sizes
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         start, size, known = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
@@ -118,11 +127,11 @@ class Encoder:
         """keys: sorted."""
         if len(self.old[0]) + len(self.new[0]) + len(keys) > ENTRIES:
             self.clear()
-        ids, sizes = self.ids_of(parts)
+        ids, starts, sizes = self.ids_of(parts)
         while self.used + len(ids) > len(self.pool):
             self.pool = np.append(self.pool, np.zeros(len(self.pool), np.uint32))
         self.pool[self.used : self.used + len(ids)] = ids
-        starts = self.used + np.cumsum(sizes) - sizes
+        starts += self.used
         self.used += len(ids)
         self.new = self.merge(self.new, (keys, starts, sizes))
         if len(self.new[0]) > RECENT:

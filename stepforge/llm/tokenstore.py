@@ -77,7 +77,7 @@ def encode(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
     def run(batches):
         encoder, seen, end = tokens.encoder(vocabulary), set(), np.uint32(end_id)
         for batch in batches:
-            for a, b, raw, offsets in slices(batch.column(1)):
+            for a, b, raw, offsets in slices(batch.column(1), 1 << 20):
                 rows = []
                 found, bounds = encoder.encode(raw, offsets)
                 for k, doc in enumerate(batch.column(0)[a:b].to_pylist()):
