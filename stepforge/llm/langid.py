@@ -125,7 +125,7 @@ def train(texts: list[str], labels: list[str], seed: int = 7) -> Model:
 
 
 def calibrate(model: Model, texts: list[str], truth: np.ndarray) -> None:
-    """Temperature of least log loss; the threshold rejects at most one in a thousand right answers, and none above 1/2."""
+    """Temperature of least log loss; the threshold rejects at most one in a thousand right answers, and none above 1.5 times chance."""
     base = model.scores(*lower_bytes(texts))
     logs = np.log(np.maximum(base, 1e-30))
 
@@ -138,7 +138,7 @@ def calibrate(model: Model, texts: list[str], truth: np.ndarray) -> None:
     after = model.scores(*lower_bytes(texts))
     right = after.max(axis=1)[after.argmax(axis=1) == truth]
     if len(right):
-        model.threshold = float(min(0.5, np.quantile(right, 0.001)))
+        model.threshold = float(min(0.5, 1.5 / len(model.languages), np.quantile(right, 0.001)))
 
 
 def fit(docs: DataFrame, of_language: int = SAMPLE_OF_LANGUAGE, rows: int = SAMPLE_ROWS) -> Model:
