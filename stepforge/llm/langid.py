@@ -23,7 +23,7 @@ from .kernels import slices
 BUCKETS, WIDTH, SIZES = 1 << 16, 16, (1, 2, 3, 4)
 EPOCHS, RATE = 3, 0.5
 #: Labelled rows that training and calibration may take, overall and of each language.
-SAMPLE_ROWS, SAMPLE_OF_LANGUAGE = 8000, 1500
+SAMPLE_ROWS, SAMPLE_OF_LANGUAGE = 4000, 800
 UNKNOWN = "und"
 LETTER = np.zeros(256, bool)
 LETTER[97:123] = LETTER[128:] = True
@@ -95,15 +95,17 @@ def train(texts: list[str], labels: list[str], seed: int = 7) -> Model:
 
     embedding = (random.random((BUCKETS, WIDTH), np.float32) - 0.5) / WIDTH
     weights, bias = np.zeros((WIDTH, len(languages)), np.float32), np.zeros(len(languages), np.float32)
-    features = []
-    for text, _ in fit:
+
+    def features(text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Buckets of a text and their shares; built again each time, which takes less memory than keeping them."""
         buckets = np.concatenate([b for b, _ in subwords(*lower_bytes([text]))] or [np.zeros(0, np.int64)])
         found, times = np.unique(buckets, return_counts=True)
-        features.append((found, (times / max(1, len(buckets))).astype(np.float32)))
+        return found, (times / max(1, len(buckets))).astype(np.float32)
+
     steps, step = EPOCHS * len(fit), 0
     for _ in range(EPOCHS):
         for k in random.permutation(len(fit)):
-            found, share = features[k]
+            found, share = features(fit[k][0])
             rate = np.float32(RATE * (1 - step / steps))
             step += 1
             if not len(found):
@@ -126,7 +128,7 @@ def train(texts: list[str], labels: list[str], seed: int = 7) -> Model:
 
 def calibrate(model: Model, texts: list[str], truth: np.ndarray) -> None:
     """Temperature of least log loss; the threshold rejects at most one in a thousand right answers, and none above 1.5 times chance."""
-    base = model.scores(*lower_bytes(texts))
+    base = np.concatenate([model.scores(*lower_bytes(texts[k : k + 100])) for k in range(0, len(texts), 100)])
     logs = np.log(np.maximum(base, 1e-30))
 
     def loss(temperature: float) -> float:
@@ -135,7 +137,7 @@ def calibrate(model: Model, texts: list[str], truth: np.ndarray) -> None:
         return float((np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(z)), truth]).mean())
 
     model.temperature = float(min(np.geomspace(0.02, 20, 121), key=loss))
-    after = model.scores(*lower_bytes(texts))
+    after = np.concatenate([model.scores(*lower_bytes(texts[k : k + 100])) for k in range(0, len(texts), 100)])
     right = after.max(axis=1)[after.argmax(axis=1) == truth]
     if len(right):
         model.threshold = float(min(0.5, 1.5 / len(model.languages), np.quantile(right, 0.001)))
