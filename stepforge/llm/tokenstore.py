@@ -175,6 +175,8 @@ _shift: dict[int, int] = {}
 
 def crc_join(first: int, second: int, length: int) -> int:
     """CRC-32 of a concatenation from the CRCs of its halves and the byte length of the second."""
+    if not first:  # nothing before it, as for the first chunk of a document
+        return second
     if length not in _shift:
         if len(_shift) > 100_000:
             _shift.clear()
