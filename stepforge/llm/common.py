@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -21,6 +24,14 @@ def shared_dir(spark: SparkSession) -> str:
     return root
 
 
+def release(spark: SparkSession) -> None:
+    """Lets the driver give back what finished work held: plans and broadcasts in the JVM, freed arrays in Python."""
+    gc.collect()
+    spark._jvm.System.gc()
+    with contextlib.suppress(AttributeError, OSError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 class Workspace:
     """A folder of Parquet tables below the shared folder; each table cuts lineage and survives lost executors."""
 
@@ -41,6 +52,7 @@ class Workspace:
             df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
         finally:
             conf.unset(key) if before is None else conf.set(key, before)
+        release(self.spark)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, name: str) -> None:

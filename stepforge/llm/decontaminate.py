@@ -40,37 +40,32 @@ def bind(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def fingerprint(hashes: Column) -> Column:
-    """SimHash: bit b is set if more than half of the hashes (repeats count) have it. Counts are kept in 16-bit lanes."""
-    lanes = F.lit(sum(1 << k for k in range(0, 64, LANE_BITS)))
+def shifted(value: Column, by: Column) -> Column:
+    return F.call_function("shiftrightunsigned", value, by)
 
-    def lane_sum(r: int) -> Column:
-        return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: a + F.shiftrightunsigned(h, r).bitwiseAND(lanes))
 
-    sums = [lane_sum(r) for r in range(LANE_BITS)]
+def fingerprint(hashes: Column) -> Column:
+    """SimHash: bit b is set if more than half of the hashes (repeats count) have it. Counts are kept in 16-bit lanes."""
+    lanes, zero = F.lit(sum(1 << k for k in range(0, 64, LANE_BITS))), F.lit(0).cast("long")
+    sums = F.transform(F.sequence(F.lit(0), F.lit(LANE_BITS - 1)), lambda r: F.aggregate(hashes, zero, lambda a, h: a + shifted(h, r).bitwiseAND(lanes)))
 
     def bits(s: Column) -> Column:
-        out = F.lit(0).cast("long")
-        for r in range(LANE_BITS):
-            for lane in range(0, 64, LANE_BITS):
-                count = F.shiftrightunsigned(s[r], lane).bitwiseAND(F.lit((1 << LANE_BITS) - 1))
-                bit = 1 << (r + lane)
-                out = out.bitwiseOR(F.when(2 * count > F.size(hashes), F.lit(bit - (1 << 64) if bit >> 63 else bit).cast("long")).otherwise(F.lit(0).cast("long")))
-        return out
-
-    return bind(F.array(*sums), bits)
-
+        # bit b is counted in lane b // 16 of the sum for b % 16
+        count = lambda b: shifted(F.get(s, b % LANE_BITS), (b - b % LANE_BITS)).bitwiseAND(F.lit((1 << LANE_BITS) - 1))
+        one = lambda b: F.call_function("shiftleft", F.lit(1).cast("long"), b)
+        return F.aggregate(F.sequence(F.lit(0), F.lit(63)), zero, lambda out, b: out.bitwiseOR(F.when(2 * count(b) > F.size(hashes), one(b)).otherwise(zero)))
 
-def block(value: Column, k: int) -> Column:
-    return F.shiftrightunsigned(value, k * BLOCK_BITS).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1))
+    return bind(sums, bits)
 
 
 def blocks(value: Column, near: bool) -> Column:
-    """(block number, value) of each block; near: every value within two bits as well."""
+    """(block number b, value v) of each block; near: every value within two bits as well."""
     masks = [0]
     if near:
         masks += [sum(1 << b for b in bits) for n in range(1, RADIUS // BLOCKS + 1) for bits in combinations(range(BLOCK_BITS), n)]
-    return F.array(*[F.struct(F.lit(k).alias("b"), block(value, k).bitwiseXOR(F.lit(m)).alias("v")) for k in range(BLOCKS) for m in masks])
+    own = lambda k: shifted(value, k * BLOCK_BITS).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1))
+    each = lambda k: F.transform(F.lit(masks), lambda m: F.struct(k.alias("b"), own(k).bitwiseXOR(m.cast("long")).alias("v")))
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(BLOCKS - 1)), each))
 
 
 def similarity(a: Column, b: Column) -> Column:

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import release
 from .kernels import slices
 
 BUCKETS, WIDTH, SIZES = 1 << 16, 16, (1, 2, 3, 4)
@@ -158,7 +159,10 @@ def fit(docs: DataFrame, of_language: int = SAMPLE_OF_LANGUAGE, rows: int = SAMP
     place = F.xxhash64(F.lit("language sample"), F.col("doc_id"))
     chosen = usable.withColumn("place", place).filter(F.pmod("place", F.lit(1_000_000)) < rate * 1_000_000).orderBy("place", "text").limit(rows)
     sample = chosen.select("text", "lang").collect()
-    return train([r[0] for r in sample], [r[1] for r in sample])
+    model = train([r[0] for r in sample], [r[1] for r in sample])
+    del sample
+    release(docs.sparkSession)
+    return model
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
