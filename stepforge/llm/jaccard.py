@@ -33,6 +33,8 @@ GROUPS = 64
 #: Larger sets get a finer count vector besides, for pairs: bits of the hash that make its groups, by least size.
 FINE_BITS = ((8192, 12), (2048, 10), (512, 8))
 SKETCH_BITS, SKETCH_SLICES = 22, 64
+#: Sets smaller than this have a bit map of that many hash groups besides, for pairs met in the tree.
+MAP_BITS = 1024
 #: Keys with more members are dealt out by size band as well.
 HOT_KEY = 512
 #: Up to this many ids of documents to verify are broadcast (8 bytes each); more are joined by a shuffle.
@@ -104,6 +106,22 @@ def fine_vector(found: np.ndarray) -> bytes:
     return b""
 
 
+def bit_map(found: np.ndarray) -> bytes:
+    """The groups (by the upper 10 bits of the hash) that a small set has, or nothing for a large set."""
+    if len(found) >= MAP_BITS:
+        return b""
+    bits = np.zeros(MAP_BITS, np.uint8)
+    bits[(found >> np.uint64(54)).astype(np.int64)] = 1
+    return np.packbits(bits).tobytes()
+
+
+def map_overlap(maps: np.ndarray, sizes: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Most that sets i and j can share: every group that only one of them has takes a member of it away."""
+    only_i = np.bitwise_count(maps[i] & ~maps[j]).sum(axis=1, dtype=np.int64)
+    only_j = np.bitwise_count(maps[j] & ~maps[i]).sum(axis=1, dtype=np.int64)
+    return np.minimum(sizes[i] - only_i, sizes[j] - only_j)
+
+
 def fine_overlap(x: bytes, y: bytes) -> int | None:
     """Summed minima of two fine vectors at the coarser one's groups; None where one has none."""
     if not x or not y:
@@ -121,7 +139,7 @@ def features(docs: DataFrame, levels: np.ndarray, width: int, percent: int) -> D
     def run(batches):
         levels = shared.value
         for batch in batches:
-            n, h1, h2, vectors, fine, keys = [], [], [], [], [], []
+            n, h1, h2, vectors, fine, maps, keys = [], [], [], [], [], [], []
             for _, found in shingle_sets(batch.column(1), width):
                 n.append(len(found))
                 sums = prefix(found)
@@ -131,12 +149,13 @@ def features(docs: DataFrame, levels: np.ndarray, width: int, percent: int) -> D
                 groups = np.bincount((found >> np.uint64(58)).astype(np.int64), minlength=GROUPS)
                 vectors.append(groups.astype("<u2").tobytes() if groups.max(initial=0) < 65536 else b"")
                 fine.append(fine_vector(found))
+                maps.append(bit_map(found))
                 long = len(found) - -(-percent * len(found) // 100) + 1 if len(found) else 0
                 rank = levels[(found >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(56) | found & np.uint64((1 << 56) - 1)
                 keys.append(found[np.argpartition(rank, long - 1)[:long]].tobytes() if long else b"")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(vectors, pa.binary()), pa.array(fine, pa.binary()), pa.array(keys, pa.binary())], names=["doc_id", "n", "h1", "h2", "vector", "fine", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(vectors, pa.binary()), pa.array(fine, pa.binary()), pa.array(maps, pa.binary()), pa.array(keys, pa.binary())], names=["doc_id", "n", "h1", "h2", "vector", "fine", "map", "keys"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, vector binary, fine binary, keys binary")
+    return docs.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, vector binary, fine binary, map binary, keys binary")
 
 
 def key_values(batch: pa.RecordBatch):
@@ -228,7 +247,7 @@ def tree_pairs(vectors: np.ndarray, sizes: np.ndarray, labels: np.ndarray, perce
 
 
 def tree_join(batches, percent: int):
-    """Rows (key, band, n, doc_id, home, label, vector) sorted by key, band and n: candidate pairs within each (key, band).
+    """Rows (key, band, n, doc_id, home, label, vector, map) sorted by key, band and n: candidate pairs in each (key, band).
 
     A group is read in runs of members; members too small to link with the next are let go.
     """
@@ -241,9 +260,13 @@ def tree_join(batches, percent: int):
         if len(group) > 1:
             n = np.asarray([x[0] for x in group], np.int64)
             ids, labels, home = (np.asarray([x[k] for x in group]) for k in (1, 3, 2))
+            mapped = np.asarray([bool(x[5]) for x in group])
+            maps = np.stack([np.frombuffer(x[5] or bytes(MAP_BITS // 8), np.uint64) for x in group])
             for i, j in tree_pairs(vectors_of([x[4] for x in group]), n, labels, percent):
-                at_home = home[i] | home[j]
-                i, j = i[at_home], j[at_home]
+                keep = home[i] | home[j]
+                small = keep & mapped[i] & mapped[j]
+                keep[small] = map_overlap(maps, n, i[small], j[small]) >= need(n[i[small]], n[j[small]], percent)
+                i, j = i[keep], j[keep]
                 new = set(zip(np.minimum(ids[i], ids[j]).tolist(), np.maximum(ids[i], ids[j]).tolist(), strict=True)) - sent
                 if new:
                     sent.update(new)
@@ -323,7 +346,7 @@ def link(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     by_size = Window.partitionBy("key", "x.band").orderBy("n", "doc_id")
     near = lambda other: 100 * F.least("n", other) >= percent * F.greatest("n", other)
     dealt = dealt.withColumn("_near", F.coalesce(near(F.lag("n").over(by_size)), F.lit(False)) | F.coalesce(near(F.lead("n").over(by_size)), F.lit(False))).filter("_near").drop("_near")
-    dealt = dealt.join(featured.select("doc_id", "vector"), "doc_id").select("key", "x.band", "n", "doc_id", "x.home", "label", "vector")
+    dealt = dealt.join(featured.select("doc_id", "vector", "map"), "doc_id").select("key", "x.band", "n", "doc_id", "x.home", "label", "vector", "map")
     candidates = dealt.repartition("key", "band").sortWithinPartitions("key", "band", "n", "doc_id").mapInArrow(partial(tree_join, percent=percent), "a long, b long").distinct()
     candidates = bounded(work.save(candidates, "tree"), featured, percent)
     more = verified(work.save(candidates, "pairs"), docs, work, "tree", width, percent)
