@@ -331,10 +331,8 @@ def link(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     star = rows.select("key", F.col("doc_id").alias("b"), F.col("n").alias("nb")).join(centers, "key").filter("a <> b").filter(fits)
     first = work.save(bounded(star.select("a", "b").distinct(), featured, percent), "star")
     links = verified(first, docs, work, "star", width, percent)
-    # two steps towards the least linked member; members with one label are in one component for certain
-    towards = links.groupBy(F.col("b").alias("doc_id")).agg(F.min("a").alias("to"))
-    further = towards.select(F.col("doc_id").alias("to"), F.col("to").alias("further"))
-    labels = work.save(towards.join(further, "to", "left").select("doc_id", F.coalesce("further", "to").alias("component")), "labels")
+    # whole components, since members of one that have different labels would meet in the tree
+    labels = work.save(components(links, work, "first").withColumnRenamed("node", "doc_id"), "labels")
 
     # members of a key that are not yet in one component
     labelled = rows.join(centers.select("key", "members"), "key").join(labels, "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id"))
