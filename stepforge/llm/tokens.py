@@ -3,7 +3,9 @@
 A byte-level BPE works on each pre-token by itself, so a text's ids are its pre-tokens' ids put together. Pre-tokens
 are found and hashed with array operations; known ones take their ids from a sorted table of bounded size, new ones
 go to the library. Texts with characters outside ASCII and the Latin letters, on which classes or Unicode versions
-could differ, go to the library whole.
+could differ, go to the library whole, and so do texts that hold an added token of the vocabulary (as <|endoftext|>),
+which the library takes out before it looks for pre-tokens: ids are those of its defaults, without special tokens put
+around a text.
 """
 
 from __future__ import annotations
@@ -78,13 +80,25 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(vocabulary)
-        self.library.encode_special_tokens = True
+        self.added = [x.content.encode() for x in self.library.get_added_tokens_decoder().values() if x.content]
+        self.joins = not any(b" " in x[1:] for x in self.added)  # words in a run make no added token
         self.clear()
 
     def clear(self) -> None:
         self.old, self.new = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))] * 2
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
 
+    def special(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Whether each text holds an added token, which no pre-token shows."""
+        text, out = data.tobytes(), np.zeros(len(offsets) - 1, bool)
+        for token in self.added:
+            at = text.find(token)
+            while at >= 0:
+                k = int(np.searchsorted(offsets, at, "right")) - 1
+                out[k] |= at + len(token) <= offsets[k + 1]
+                at = text.find(token, at + 1)
+        return out
+
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.asarray(x.ids, np.uint32) for x in self.library.encode_batch(texts, add_special_tokens=False)]
 
@@ -93,7 +107,7 @@ class Encoder:
 
         Words with a space go to the library in long runs, which cost less a word.
         """
-        word = np.asarray([x[0] == " " and x[1:].isalpha() for x in parts], bool)
+        word = np.asarray([self.joins and x[0] == " " and x[1:].isalpha() for x in parts], bool)
         starts, sizes = np.zeros(len(parts), np.int64), np.zeros(len(parts), np.int64)
         pieces, total = [], 0
         rest = np.flatnonzero(~word)
@@ -143,7 +157,7 @@ class Encoder:
         return tuple(np.insert(a, at, b) for a, b in zip(x, y, strict=True))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        strange = foreign(data, offsets) if len(data) else np.zeros(len(offsets) - 1, bool)
+        strange = foreign(data, offsets) | self.special(data, offsets) if len(data) else np.zeros(len(offsets) - 1, bool)
         if strange.any():
             counts, parts = [], []
             for k in range(len(offsets) - 1):

@@ -29,6 +29,39 @@ def test_ids_are_the_library_s(letters):
             assert ids[at[k] : at[k + 1]].tolist() == ids_by_hand(texts[a + k]), repr(texts[a + k])
 
 
+def test_added_tokens_are_the_untouched_library_s(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(VOCABULARY)
+    texts = ["end of one.<|endoftext|>next", "plain words", "<|endoftext|>", "a <|endoftext", "|> b", "x<|endoftext|><|endoftext|> y", "é<|endoftext|>日", ""]
+    expected = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert expected[0] == [437, 286, 530, 13, 50256, 19545]
+    encoder = tokens.Encoder(VOCABULARY)
+    for size in (10, 1 << 20):
+        for a, b, data, offsets in kernels.slices(pa.array(texts), size):
+            ids, at = encoder.encode(data, offsets)
+            assert [ids[at[k] : at[k + 1]].tolist() for k in range(b - a)] == expected[a:b]
+    df = spark.createDataFrame(list(enumerate(texts)), EMPTY)
+    for r in packing.pack_documents(df).collect():
+        assert r["ids_crc32"] == zlib.crc32(np.asarray([*expected[r["doc_id"]], 0], "<u4").tobytes())
+    work = Workspace(spark, "store")
+    tokenstore.write(df, work.root, VOCABULARY)
+    assert {r["doc_id"]: r["ids"] for r in tokenstore.reconstruct(spark, work.root).collect()} == {k: [*x, 2] for k, x in enumerate(expected)}
+    assert {r["doc_id"]: r["start"] for r in tokenstore.read(spark, work.root).collect()} == {k: sum(len(x) + 1 for x in expected[:k]) for k in range(len(texts))}
+
+
+def test_added_tokens_that_words_would_make(tmp_path):
+    from tokenizers import AddedToken, Tokenizer
+
+    library = Tokenizer.from_file(VOCABULARY)
+    library.add_tokens([AddedToken("word other", normalized=False)])
+    library.save(str(tmp_path / "v.json"))
+    texts = ["one word", "an other", "a word other b"]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    ids, at = tokens.Encoder(str(tmp_path / "v.json")).encode(data, np.cumsum([0, *map(len, texts)]))
+    assert [ids[at[k] : at[k + 1]].tolist() for k in range(3)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_a_full_table_starts_anew(monkeypatch):
     monkeypatch.setattr(tokens, "ENTRIES", 5)
     monkeypatch.setattr(tokens, "RECENT", 2)
