@@ -9,9 +9,12 @@ No step gathers documents in one task, and a hot length is spread over all the t
 
 from __future__ import annotations
 
+import logging
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import Counter
+from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +28,8 @@ from .kernels import slices
 
 #: Nodes that the branch and bound may visit before it settles for its incumbent.
 NODES = 200
+#: Steps of looking for one filling that count as a node.
+STEPS = 1000
 Pattern = tuple[int, ...]
 
 
@@ -84,46 +89,60 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     return best
 
 
-def completions(sizes: list[int], counts: Counter, left: int, waste: int) -> list[Pattern]:
-    """Undominated fillings of the space that the largest piece leaves, least waste first.
+def completions(counts: Counter, left: int, waste: int) -> Iterator[Pattern | None]:
+    """Undominated fillings of the space that the largest piece leaves, larger pieces first, built as they are asked for.
 
-    A filling is dominated if another one can take each of its pieces, alone or together, into larger ones: so a single
-    piece is worth keeping only at the largest length that fits, a pair only if it fills more than that piece, with the
-    largest partner, and a triple only if no pair fills as much. Fillings that waste more than allowed are not built.
+    A filling is dominated if a piece left out fits in it, alone or in place of smaller pieces of the filling. Fillings
+    that waste more than allowed are not built. None stands for STEPS steps that found no filling.
     """
-    fit = sizes[: bisect_right(sizes, left)]
-    if not fit:
-        return [()] if left <= waste else []
-
-    def largest(limit: int, used: Counter) -> int:
-        k = bisect_right(fit, limit) - 1
-        while k >= 0 and counts[fit[k]] <= used[fit[k]]:
-            k -= 1
-        return fit[k] if k >= 0 else 0
-
-    single = largest(left, Counter())
-    found = {(single,)}
-    best_pair, partner = 0, 0
-    for a in reversed(fit):
-        if 2 * a <= single:
-            break
-        b = largest(min(a, left - a), Counter((a,)))
-        if b and a + b > single and b > partner:
-            found.add((a, b))
-            best_pair, partner = max(best_pair, a + b), b
-    for a in reversed(fit[-64:]):
-        for b in reversed(fit[: bisect_right(fit, min(a, left - a))][-64:]):
-            if counts[b] > (a == b) and (c := largest(min(b, left - a - b), Counter((a, b)))) and a + b + c > max(single, best_pair):
-                found.add((a, b, c))
-    filled = []
-    for pattern in found:
-        used, rest = Counter(pattern), left - sum(pattern)
-        while rest and (more := largest(rest, used)):
-            used[more] += 1
-            rest -= more
-        if rest <= waste:
-            filled.append((rest, tuple(sorted(used.elements(), reverse=True))))
-    return [p for _, p in sorted(set(filled), key=lambda x: (x[0], len(x[1]), tuple(-y for y in x[1])))]
+    fit = sorted((s for s in counts if s <= left), reverse=True)
+    mass = [0]
+    for s in reversed(fit):
+        mass.append(mass[-1] + s * counts[s])
+    mass.reverse()
+    rising = [-s for s in fit]
+    steps = 0
+
+    def undominated(used: dict[int, int], room: int) -> bool:
+        sums = 1  # bit s: some pieces smaller than x add up to s
+        for x in reversed(fit):
+            low = max(0, x - room)
+            if counts[x] > used.get(x, 0) and sums >> low & (1 << x - low + 1) - 1:
+                return False
+            for _ in range(used.get(x, 0)):
+                sums |= sums << x
+        return True
+
+    def most(k: int, room: int) -> int:
+        return min(counts[fit[k]], room // fit[k]) if k < len(fit) else 0
+
+    # (size's place, pieces of it, room before them, what must be filled from here, larger pieces as nested tuples)
+    stack = [(0, most(0, left), left, left - waste, ())]
+    while stack:
+        if steps >= STEPS:
+            steps = 0
+            yield None
+        steps += 1
+        k, n, room, need, taken = stack.pop()
+        if k == len(fit):
+            steps += 10
+            used = {}
+            while taken:
+                taken, size, each = taken
+                used[size] = each
+            if need <= 0 and undominated(used, room):
+                steps = 0
+                yield tuple(s for s in sorted(used, reverse=True) for _ in range(used[s]))
+            continue
+        if n:
+            stack.append((k, n - 1, room, need, taken))
+        size = fit[k]
+        after = room - n * size
+        # a piece left out though it fits would replace a rest that fills no more than it
+        need = max(need - n * size, size + 1 if n < most(k, room) else 0)
+        if need <= min(after, mass[k + 1]):
+            k = max(k + 1, bisect_left(rising, -after))
+            stack.append((k, most(k, after), after, need, (taken, size, n) if n else taken))
 
 
 def bin_completion(counts: dict[int, int], capacity: int, nodes: int = NODES) -> list[tuple[int, Pattern]]:
@@ -131,35 +150,47 @@ def bin_completion(counts: dict[int, int], capacity: int, nodes: int = NODES) ->
 
     The best-fit solution is the first incumbent. While it has more sequences than the lower bound, the search fills
     the bin of the largest remaining piece in every undominated way whose waste still permits one sequence less, as
-    often as the counts allow at once, and keeps each better solution. It ends at the bound or after ``nodes`` nodes.
+    often as the counts allow at once, and keeps each better solution. Paths with fewer discrepancies, fillings passed
+    over for later ones, come first. It ends at the bound or after ``nodes`` nodes.
     """
     incumbent = best_fit(counts, capacity)
     bound, total = lower_bound(counts, capacity), sum(s * n for s, n in counts.items())
     size_of = lambda solution: sum(n for n, _ in solution)
     best, visited = size_of(incumbent), 0
-    stack = [(Counter({s: n for s, n in counts.items() if n}), [], 0, 0)]
-    while stack and best > bound and visited < nodes:
-        left, made, bins, wasted = stack.pop()
+    queue: list = []
+
+    def visit(discrepancies: int, left: Counter, made: list, bins: int, wasted: int) -> None:
+        nonlocal incumbent, best, visited
         visited += 1
-        if not left:
-            if bins < best:
-                incumbent, best = made, bins
-            continue
+        rest = best_fit(left, capacity)
+        if bins + size_of(rest) < best:
+            incumbent, best = made + rest, bins + size_of(rest)
         allowed = (best - 1) * capacity - total - wasted
-        if allowed < 0:
+        if left and allowed >= 0:
+            largest = max(left)
+            fillings = completions(left - Counter((largest,)), capacity - largest, allowed)
+            heappush(queue, (discrepancies, -visited, left, made, bins, wasted, largest, fillings))
+
+    if best > bound:
+        visit(0, Counter({s: n for s, n in counts.items() if n}), [], 0, 0)
+    while queue and best > bound and visited < nodes:
+        discrepancies, order, left, made, bins, wasted, largest, fillings = heappop(queue)
+        allowed = (best - 1) * capacity - total - wasted
+        pattern = next(fillings, False) if allowed >= 0 else False
+        if pattern is False:
             continue
-        if bins + size_of(rest := best_fit(left, capacity)) < best:
-            incumbent, best = made + rest, bins + size_of(rest)
+        heappush(queue, (discrepancies + 1, order, left, made, bins, wasted, largest, fillings))
+        if pattern is None:
+            visited += 1
+            continue
+        spare = capacity - largest - sum(pattern)
+        if spare > allowed:
             continue
-        largest = max(left)
-        after = left - Counter((largest,))
-        for pattern in reversed(completions(sorted(after), after, capacity - largest, allowed)[:8]):
-            whole = Counter((largest, *pattern))
-            spare = capacity - largest - sum(pattern)
-            times = min(left[s] // n for s, n in whole.items())
-            times = max(1, min(times, allowed // spare if spare else times))
-            child = Counter({s: n - whole[s] * times for s, n in left.items() if n > whole[s] * times})
-            stack.append((child, [*made, (times, (largest, *pattern))], bins + times, wasted + spare * times))
+        whole = Counter((largest, *pattern))
+        times = min(left[s] // n for s, n in whole.items())
+        times = max(1, min(times, allowed // spare if spare else times))
+        child = Counter({s: n - whole[s] * times for s, n in left.items() if n > whole[s] * times})
+        visit(discrepancies, child, [*made, (times, (largest, *pattern))], bins + times, wasted + spare * times)
     return incumbent
 
 
@@ -198,7 +229,7 @@ def pack(pieces: DataFrame, capacity: int = 2048, nodes: int = NODES) -> DataFra
     """Adds sequence_id and offset to pieces that have length (1..capacity), task and rank; see token_pieces().
 
     ``pieces`` must be a written table, since its ranks must not change between reads. No pieces give no rows. Equal
-    lengths are ties that their ranks settle.
+    lengths are ties that their ranks settle. The log (info) tells the sequences above the lower bound.
     """
     per_task = pieces.groupBy("task", "length").agg(F.count("*").alias("n"))
     counts = {r[0]: r[1] for r in per_task.groupBy("length").agg(F.sum("n")).collect()}  # at most `capacity` rows
@@ -207,7 +238,10 @@ def pack(pieces: DataFrame, capacity: int = 2048, nodes: int = NODES) -> DataFra
 
     where: list[tuple[int, int, int, int, int]] = []
     taken, first = Counter(), 0
-    for times, pattern in bin_completion(counts, capacity, nodes):
+    solution = bin_completion(counts, capacity, nodes)
+    bound = lower_bound(counts, capacity)
+    logging.getLogger(__name__).info("%d sequences, %d above the lower bound", used := sum(n for n, _ in solution), used - bound)
+    for times, pattern in solution:
         offset = 0
         for size, each in sorted(Counter(pattern).items(), reverse=True):
             where.append((size, taken[size], first, each, offset))

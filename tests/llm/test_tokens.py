@@ -116,6 +116,34 @@ def test_bin_completion_against_exhaustive_search():
     assert sum(n for n, _ in packing.bin_completion(hard, 50)) == 4
 
 
+def fillings_by_hand(counts, left, waste):
+    """All fillings in which no piece left out can take the place of smaller ones, or of none."""
+    pieces = sorted(counts.elements(), reverse=True)
+    every = {tuple(p for k, p in enumerate(pieces) if m >> k & 1) for m in range(1 << len(pieces))}
+    every = {p for p in every if sum(p) <= left}
+
+    def dominated(p):
+        room, out = left - sum(p), counts - Counter(p)
+        for x in out:
+            small = [y for y in p if y < x]
+            if any(x - room <= sum(y for k, y in enumerate(small) if m >> k & 1) <= x for m in range(1 << len(small))):
+                return True
+        return False
+
+    return {p for p in every if left - sum(p) <= waste and not dominated(p)}
+
+
+def test_completions_are_all_the_undominated_fillings():
+    triple = Counter({4: 1, 6: 2, 8: 2})  # 6, 6, 4 fills as much as 8, 8, but no piece of 8 can replace any of it
+    assert (6, 6, 4) in list(packing.completions(triple, 16, 0))
+    rnd = random.Random(8)
+    for _ in range(150):
+        counts = Counter(rnd.randrange(1, 15) for _ in range(rnd.randrange(0, 9)))
+        left, waste = rnd.randrange(0, 30), rnd.randrange(0, 8)
+        found = [p for p in packing.completions(counts, left, waste) if p is not None]
+        assert len(found) == len(set(found)) and set(found) == fillings_by_hand(counts, left, waste)
+
+
 def test_large_counts_pack_in_few_steps():
     counts = {s: 10**9 + s for s in range(1, 2049, 7)}
     solution = packing.bin_completion(counts, 2048)
