@@ -9,7 +9,10 @@ from .common import Workspace
 
 
 def components(edges: DataFrame, work: Workspace, label: str = "components", rounds: int = 60) -> DataFrame:
-    """node and component (least node reachable) for every node of edges (a, b); loops and repeats do no harm."""
+    """node and component (least node reachable) for every node of edges (a, b); loops and repeats do no harm.
+
+    A RuntimeError tells that the last of the rounds still changed edges.
+    """
     e = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     before = None
     for k in range(rounds):
@@ -26,4 +29,6 @@ def components(edges: DataFrame, work: Workspace, label: str = "components", rou
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components not settled after {rounds} rounds")
     return e.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.col("m").alias("component")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stepforge.llm import jaccard, linededup, phrases, queries, suffixes
+from stepforge.llm import components, jaccard, linededup, phrases, queries, suffixes
+from stepforge.llm.common import Workspace
 
 EMPTY = "doc_id long, text string"
 SCALE = "/root/testdata/sf0.001"
@@ -196,6 +197,13 @@ def test_links_of_nothing_and_repeated_rows(spark):
     assert sorted((r["doc_id"] or -1, r["n_shingles"], r["component_id"]) for r in rows if r["doc_id"]) == [(2, 2, 2), (5, 2, 2), (5, 2, 2), (7, 0, 7)]
 
 
+def test_components_that_do_not_settle(spark):
+    path = spark.createDataFrame([(k, k + 1) for k in range(40)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        components.components(path, Workspace(spark, "test"), rounds=2)
+    assert {r["component"] for r in components.components(path, Workspace(spark, "test")).collect()} == {0}
+
+
 def test_tree_finds_all_that_bounds_permit():
     rnd = np.random.default_rng(1)
     vectors = rnd.integers(0, 9, (300, jaccard.GROUPS)).astype(np.int32)
