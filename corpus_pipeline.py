@@ -28,9 +28,30 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the least doc_id of each group of documents linked by five-word shingles at a similarity of 0.8."""
-    gone = jaccard.link(docs, width=5, percent=80).filter("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """Keeps the least doc_id of each group of documents linked by five-word shingles at a similarity of 0.8.
+
+    Of rows with equal doc_id one stays for each text, the least in the other columns. Rows of null doc_id are documents
+    of their own that come after all others: one stays for each text, and none that links with a document before it.
+    """
+    work = Workspace(spark, "near-duplicates")
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+
+    def one_per_text(rows: DataFrame, key: str) -> DataFrame:
+        first = F.min(F.struct(*others)).alias("_first") if others else F.count("*").alias("_first")
+        return rows.groupBy(key, "text").agg(first).select(key, "text", *[F.col("_first")[c].alias(c) for c in others])
+
+    top, nulls = docs.agg(F.max("doc_id").cast("long"), F.count_if(F.col("doc_id").isNull())).first()
+    nodes = docs.withColumn("_node", F.col("doc_id").cast("long"))
+    if nulls:
+        unnamed = one_per_text(docs.filter("doc_id is null"), "doc_id").withColumn("_node", F.monotonically_increasing_id() + F.lit((top or 0) + 1))
+        nodes = nodes.filter("doc_id is not null").unionByName(work.save(unnamed, "unnamed"))
+    gone = jaccard.link(nodes.select(F.col("_node").alias("doc_id"), "text"), width=5, percent=80).filter("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
+    kept = nodes.join(gone, nodes["_node"] == gone["_gone"], "left_anti")
+    repeated = work.save(docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
+    if repeated.isEmpty():
+        return kept.select(*docs.columns)
+    several = one_per_text(kept.join(repeated, "doc_id"), "doc_id")
+    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(several.select(*docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,3 +1,5 @@
+from collections import Counter
+
 from test_dedup import lines_by_hand, links_by_hand
 from test_text_quality import leaks_by_hand
 from test_tokens import check_packing
@@ -42,6 +44,15 @@ def test_run(spark):
     assert out.groupBy("sequence_id").sum("length").filter("`sum(length)` > 2048").count() == 0
 
 
+def test_near_duplicates_of_repeated_and_missing_ids(spark):
+    text, other, third = (" ".join(f"{w}{k}" for k in range(40)) for w in "abc")
+    rows = [(1, text, "y"), (1, text, "x"), (1, other, "x"), (2, text + " end", "x"), (3, third, "x"), (3, third, "x"), (None, third, "x"), (None, "lone words", "y"), (None, "lone words", "x"), (None, None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = corpus_pipeline.near_duplicates(spark, docs, SCALE)
+    assert out.columns == docs.columns
+    assert Counter(tuple(r) for r in out.collect()) == Counter([(1, text, "x"), (1, other, "x"), (3, third, "x"), (None, "lone words", "x"), (None, None, "x")])
+
+
 def test_rows_without_text_or_label(spark):
     docs = spark.createDataFrame([(1, None, None, None, None), (2, "", "en", "s", 0), (3, "some words here", "en", "s", 15)], "doc_id long, text string, lang string, source string, n_chars long")
     for _, stage in corpus_pipeline.STAGES[:4]:
