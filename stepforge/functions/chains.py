@@ -11,23 +11,23 @@ from . import text as T
 
 def equations(x: Column) -> Column:
     """Distinct (a, op, b, c) of all ``a op b = c``; the operands of sums and products are sorted."""
-    low = F.lower(T.filled(x))
-    group = lambda g: F.regexp_extract_all(low, F.lit(K.EQUATION), g)
-    zipped = F.arrays_zip(group(1).alias("a"), group(2).alias("o"), group(3).alias("b"), group(4).alias("c"))
+    found = F.regexp_extract_all(F.lower(T.filled(x)), F.lit(K.EQUATION), 0)
+    # a match is number, sign, number, equals sign, number: it falls apart at the signs
+    cut = F.transform(found, lambda m: F.struct(F.split(m, r"\s*[=+\-*/x×÷]\s*").alias("n"), F.regexp_extract(m, r"[+\-*/x×÷]", 0).alias("o")))
 
     def entry(e: Column) -> Column:
         op = F.when(e["o"].isin("x", "×"), "*").when(e["o"] == "÷", "/").otherwise(e["o"])
-        a, b = e["a"].cast("double"), e["b"].cast("double")
+        a, b, c = (e["n"][k].cast("double") for k in range(3))
         swap = op.isin("+", "*")
-        return F.struct(F.when(swap, F.least(a, b)).otherwise(a).alias("a"), op.alias("op"), F.when(swap, F.greatest(a, b)).otherwise(b).alias("b"), e["c"].cast("double").alias("c"))
+        return F.struct(F.when(swap, F.least(a, b)).otherwise(a).alias("a"), op.alias("op"), F.when(swap, F.greatest(a, b)).otherwise(b).alias("b"), c.alias("c"))
 
-    return F.array_distinct(F.transform(zipped, entry))
+    return F.array_distinct(F.transform(cut, entry))
 
 
 def raw_edges(reasoning: Column) -> Column:
     """Distinct (lhs, dep) of all assignments in a normalized text; CONST if a right side has numbers but no variable."""
-    group = lambda g: F.regexp_extract_all(reasoning, F.lit(K.ASSIGNMENT), g)
-    zipped = F.arrays_zip(group(1).alias("l"), group(2).alias("r"))
+    sides = F.transform(F.regexp_extract_all(reasoning, F.lit(K.ASSIGNMENT), 0), lambda m: F.split(m, r"\s*=\s*", 2))
+    zipped = F.transform(sides, lambda x: F.struct(x[0].alias("l"), x[1].alias("r")))
     reserved = F.array(*map(F.lit, K.RESERVED))
 
     def edges(e: Column) -> Column:

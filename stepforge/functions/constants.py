@@ -12,8 +12,8 @@ IDENTIFIER = r"[A-Za-z][A-Za-z0-9_]*"
 ANSWER_MARK = r"(?i)(?:final\s*answer|answer)\s*[:：]"
 CLAUSE_END = r"[.;\n]+"
 EQUATION = r"(\d+(?:\.\d+)?)\s*([\+\-\*\/x×÷])\s*(\d+(?:\.\d+)?)\s*=\s*(\d+(?:\.\d+)?)"
-ENTITY_AS = r"define\s+(.+?)\s+as\s+([a-z][a-z0-9_]*)\b"
-ENTITY_EQUALS = r"define\s+([a-z][a-z0-9_]*)\s*=\s*(.+)"
+ENTITY_AS = r"define\s+(.+?)\s+as\s+([A-Za-z][A-Za-z0-9_]*)\b"
+ENTITY_EQUALS = r"define\s+([A-Za-z][A-Za-z0-9_]*)\s*=\s*(.+)"
 ASSIGNMENT = r"\b([A-Za-z][A-Za-z0-9_]*)\s*=\s*([^.;\n]+)"
 STEP_AS = r"(?s)^Define\s+(.*?)\s+as\s+([A-Za-z][A-Za-z0-9_]*)\s*;\s*(.*)$"
 STEP_EQUALS = r"(?s)^Define\s+([A-Za-z][A-Za-z0-9_]*)\s*=\s*(.+)\s*;?\s*$"
@@ -39,6 +39,49 @@ MODEL_NAMES = (
     ("dpo_full_missing_nodes_414", "missing_nodes"),
     ("dpo_full_mismatch_414", "dependency_mismatch"),
 )
-FIGURE_NAME_WORDS = ("compute_error", "compute", "missing_nodes", "missing", "disorder", "mismatch", "dep", "sft", "qwen")
+#: Short names for figures: the first row of which a name holds some word. Names without a word of FIGURE_GATE stay.
+FIGURE_NAMES = (
+    ("compute_error", ("compute",)),
+    ("missing_nodes", ("missing",)),
+    ("dependency_mismatch", ("mismatch", "dep")),
+    ("disorder", ("disorder",)),
+    ("sft", ("sft",)),
+    ("base", ("qwen", "base")),
+)
+FIGURE_GATE = ("compute_error", "compute", "missing_nodes", "missing", "disorder", "mismatch", "dep", "sft", "qwen")
+BOUNDARY_METRICS = ("answer-pass@1", "answer-pass@32", "reasoning-chain-pass@1", "reasoning-chain-pass@32")
+MIXTURES = (
+    "compute_error_missing_200each",
+    "disorder_compute_error_200each",
+    "disorder_mismatch_200each",
+    "disorder_missing_200each",
+    "mismatch_compute_error_200each",
+    "mismatch_missing_200each",
+)
+INJECTIONS = (
+    "compute_error_10pct_disorder_total400",
+    "compute_error_10pct_missing_total400",
+    "compute_error_1pct_disorder_total400",
+    "compute_error_1pct_missing_total400",
+    "disorder_10pct_missing_total400",
+    "disorder_1pct_missing_total400",
+    "mismatch_10pct_disorder_total400",
+    "mismatch_10pct_missing_total400",
+    "mismatch_1pct_disorder_total400",
+    "mismatch_1pct_missing_total400",
+    "missing_10pct_disorder_total400",
+    "missing_1pct_disorder_total400",
+)
+#: Words of these names and the error types they stand for.
+MIXTURE_TYPES = {"compute_error": "computer_error", "missing": "missing_nodes", "mismatch": "dependency_mismatch", "disorder": "disorder"}
 SYSTEM_MESSAGE = "You are a helpful and logical assistant. Please show your complete reasoning process step by step."
 STEP_REQUEST = "Please reason step by step, and show your complete reasoning process."
+
+#: What a generator is asked for by error type, in our own words; {task} is the problem with its correct solution.
+REQUESTS = {
+    "computation_error": "Rewrite the correct solution with exactly one wrong calculation, so that its final answer is wrong. Keep names, steps and wording.",
+    "dependency_mismatch": "Rewrite the correct solution so that exactly one step uses another quantity than it should. Keep it natural and complete.",
+    "missing_nodes": "Rewrite the correct solution without two or three steps that later steps need, so that a reader can't fill the gap. Keep the rest.",
+}
+REPLY_FORMAT = 'Answer with this JSON object alone: {"%s": {"rejected": "..."}}'
+REQUEST_TEMPLATES = {kind: f"{text}\n{REPLY_FORMAT % kind}\n\n{{task}}" for kind, text in REQUESTS.items()}

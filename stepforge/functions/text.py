@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from . import constants as K
 
-BLANKS = r"(?U)\s+"
-EDGES = r"(?U)^\s+|\s+$"
+#: Unicode white space and the four separators U+001C to U+001F.
+BLANKS = r"(?U)[\s\x1C-\x1F]+"
+EDGES = r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$"
 
 
 def filled(x: Column) -> Column:
@@ -137,4 +138,5 @@ def json_variant(x: Column) -> Column:
 
 
 def percent(x: Column) -> Column:
-    return F.concat((x * 100).cast("int").cast("string"), F.lit("%"))
+    """A share as whole percents, halves to the even number."""
+    return F.concat(F.bround(x * 100, 0).cast("long").cast("string"), F.lit("%"))

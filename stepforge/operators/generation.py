@@ -1,11 +1,13 @@
 """Generation by an external model: requests, replies, validation, resuming and accounting.
 
 The model is any Python callable (prompt) -> (text, usage); nothing here calls a network. Rows go to it in Arrow batches
-inside mapInPandas, after an anti-join has removed what the log already holds.
+inside mapInPandas, after an anti-join has removed what the log already holds. A reply that lacks the wanted text counts
+as a failed call and is asked for again.
 """
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable
 
@@ -15,20 +17,36 @@ from pyspark.sql import functions as F
 
 from stepforge.functions import text as T
 
-LOG = "id string, error_type string, status string, reply string, attempts int, prompt_tokens long, completion_tokens long, total_tokens long"
+LOG = "id string, error_type string, status string, reply string, attempts int, prompt_tokens long, completion_tokens long, total_tokens long, error string"
 
 
 def reply_fields(reply: Column, kind: Column) -> dict[str, Column]:
     """error (not_json, missing_key, missing_rejected, not_string or null) and rejected of a reply {type: {rejected: text}}."""
     value = T.json_variant(reply)
-    # the path differs by row, so the type's object is found among the top-level keys
-    tops = F.from_json(F.coalesce(F.to_json(value), F.lit("null")), "map<string,string>")
-    inner = F.try_parse_json(F.try_element_at(tops, kind))
+    top = F.concat(F.lit('$["'), kind, F.lit('"]'))
+    inner = F.try_variant_get(value, top, "variant")
     found = F.try_variant_get(inner, "$.rejected", "variant")
-    text = F.try_variant_get(inner, "$.rejected", "string")
     is_text = F.schema_of_variant(found) == "STRING"
     error = F.when(value.isNull(), "not_json").when(inner.isNull(), "missing_key").when(found.isNull(), "missing_rejected").when(~is_text, "not_string")
-    return {"error": error, "rejected": F.when(error.isNull(), text)}
+    return {"error": error, "rejected": F.when(error.isNull(), F.try_variant_get(found, "$", "string"))}
+
+
+def reply_error(reply: str | None, kind: str) -> str | None:
+    """The error of reply_fields() for one reply, for use next to the model's call."""
+    text = reply or ""
+    for part in (text, text[text.find("{") : text.rfind("}") + 1]):
+        try:
+            value = json.loads(part)
+            break
+        except ValueError:
+            continue
+    else:
+        return "not_json"
+    if not isinstance(value, dict) or kind not in value:
+        return "missing_key"
+    if not isinstance(value[kind], dict) or "rejected" not in value[kind]:
+        return "missing_rejected"
+    return None if isinstance(value[kind]["rejected"], str) else "not_string"
 
 
 def pending(items: DataFrame, log: DataFrame) -> DataFrame:
@@ -36,26 +54,40 @@ def pending(items: DataFrame, log: DataFrame) -> DataFrame:
     return items.join(log.filter("status = 'ok'").select("id", "error_type").distinct(), ["id", "error_type"], "left_anti")
 
 
-def generate(requests: DataFrame, model: Callable[[str], tuple[str, dict]], tries: int = 3, pause: float = 1.5, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
-    """Log rows for requests (id, error_type, prompt): up to ``tries`` calls each, usage summed over them."""
+def generate(
+    requests: DataFrame,
+    model: Callable[[str], tuple[str, dict]],
+    tries: int = 3,
+    pause: float = 1.5,
+    sleep: Callable[[float], None] = time.sleep,
+    check: Callable[[str | None, str], str | None] | None = reply_error,
+) -> DataFrame:
+    """Log rows for requests (id, error_type, prompt): up to ``tries`` calls each, usage summed over all of them.
+
+    A call that raises, or whose reply ``check`` (reply, error_type) finds fault with, is made again after a growing
+    pause. Status is ok or, after the last try, failed; reply and error are those of the last try.
+    """
 
     def run(frames):
         for frame in frames:
             rows = []
             for r in frame.itertuples(index=False):
                 used = {"prompt_tokens": 0, "completion_tokens": 0, "total_tokens": 0}
-                status, reply, n = "failed", None, 0
+                reply, error, n = None, None, 0
                 for n in range(1, tries + 1):
+                    reply = None
                     try:
                         reply, usage = model(r.prompt)
                         for k in used:
-                            used[k] += int(usage.get(k, 0))
-                        status = "ok"
+                            used[k] += int(usage.get(k, 0) or 0)
+                        error = check(reply, r.error_type) if check else None
+                    except Exception as problem:  # noqa: BLE001  a failed call is tried again
+                        error = str(problem) or type(problem).__name__
+                    if error is None:
                         break
-                    except Exception:  # noqa: BLE001  a failed call is tried again
-                        if n < tries:
-                            sleep(pause * n)
-                rows.append((str(r.id), r.error_type, status, reply, n, *used.values()))
+                    if n < tries:
+                        sleep(pause * n)
+                rows.append((str(r.id), r.error_type, "failed" if error else "ok", reply, n, *used.values(), error))
             yield pd.DataFrame(rows, columns=[x.strip().split()[0] for x in LOG.split(",")])
 
     return requests.select(F.col("id").cast("string").alias("id"), "error_type", "prompt").mapInPandas(run, LOG)

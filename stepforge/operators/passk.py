@@ -15,11 +15,20 @@ def score_answers(candidates: DataFrame, gold: Column, text: str = "txt") -> Dat
     return candidates.withColumn("is_correct", chains.answer_correct(T.last_number(F.col(text)), gold))
 
 
+def gold_answers(problems: DataFrame, solution: str = "solution") -> Column:
+    """The last number of ``answer``, where problems have such a column and it holds one, else of the solution."""
+    answer = F.col("answer") if "answer" in problems.columns else F.lit(None)
+    return T.gold_answer(answer, F.col(solution))
+
+
 def score_chains(candidates: DataFrame, problems: DataFrame, key: str = "id", text: str = "txt", solution: str = "solution") -> DataFrame:
-    """Candidates joined with their problem's gold features (built once a problem), with scores and chain_correct."""
-    gold = chains.features(problems.select(key, solution, T.last_number(F.col(solution)).alias("gold_answer")), solution, "g_").drop(solution)
-    pred = chains.features(candidates.withColumn("pred_answer", T.last_number(F.col(text))), text, "p_")
-    joined = pred.join(gold, key).withColumn("is_correct", chains.answer_correct(F.col("pred_answer"), F.col("gold_answer")))
+    """Candidates joined with their problem's gold features (built once a problem), with scores and chain_correct.
+
+    Candidates' features are built after the join, so their texts are shuffled and not the arrays made of them.
+    """
+    gold = chains.features(problems.select(key, solution, gold_answers(problems, solution).alias("gold_answer")), solution, "g_").drop(solution)
+    joined = chains.features(candidates.join(gold, key).withColumn("pred_answer", T.last_number(F.col(text))), text, "p_")
+    joined = joined.withColumn("is_correct", chains.answer_correct(F.col("pred_answer"), F.col("gold_answer")))
     scored = joined.withColumns(chains.chain_score("p_", "g_"))
     return scored.withColumn("chain_correct", chains.chain_correct(F.col("is_correct"), F.col("final_score")))
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import re
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +15,7 @@ from stepforge.functions import similarity as S
 from stepforge.functions import text as T
 from stepforge.operators import corrupt, dag, generation, passk, qc, reports, sampling
 
-from . import corpus, pipelines
+from . import corpus, pipelines, reporting
 from .corpus import table
 
 QUERIES: dict = {}
@@ -106,15 +110,12 @@ def bucket_histogram(spark, sf):
 # ---- chains --------------------------------------------------------------------------------------------------------
 def sql_features(source: str, name: str) -> str:
     """Feature lists of source(key..., txt): equations, raw edges, entities, edges and nodes."""
-    num = r"\d+(?:\.\d+)?"
-    eq = rf"({num})\s*([\+\-\*\/x×÷])\s*({num})\s*=\s*({num})"
-    assign = r"\b([A-Za-z][A-Za-z0-9_]*)\s*=\s*([^.;\n]+)"
-    entity = r"define\s+(.+?)\s+as\s+([a-z][a-z0-9_]*)\b"
+    eq, assign, entity = K.EQUATION, K.ASSIGNMENT, K.ENTITY_AS
     reserved = ", ".join(f"'{x}'" for x in K.RESERVED)
     a, b, o = f"regexp_extract(m, '{eq}', 1)::double", f"regexp_extract(m, '{eq}', 3)::double", f"replace(replace(replace(regexp_extract(m, '{eq}', 2), 'x', '*'), '×', '*'), '÷', '/')"
     lhs, rhs = f"regexp_extract(m, '{assign}', 1)", f"regexp_extract(m, '{assign}', 2)"
     deps = rf"list_filter(list_distinct(regexp_extract_all({rhs}, '\b([A-Za-z][A-Za-z0-9_]*)\b', 1)), lambda v: v <> {lhs} and v not in ({reserved}))"
-    before_answer = sql_norm(r"string_split_regex(txt, '(?i)(?:final\s*answer|answer)\s*[:：]')[1]")
+    before_answer = sql_norm(r"string_split_regex(txt, '%s')[1]" % K.ANSWER_MARK)
     return rf"""
 {name}_a as (select * exclude (txt), {before_answer} r,
    list_distinct(list_transform(regexp_extract_all(lower(txt), '{eq}'), lambda m: case when {o} in ('+', '*')
@@ -178,6 +179,21 @@ def node_f1(spark, sf):
     return scored_chains(spark, sf).select("id", "j", chains.f1(F.col("p_nodes"), F.col("g_nodes")).alias("node_f1"))
 
 
+ANSWER_SQL = "case id % 4 when 0 then concat('The answer is ', ans + 1) when 1 then 'no number' when 2 then '' end"
+
+
+def answered(spark, sf) -> DataFrame:
+    """Problems with an answer of their own, which differs from the solution's or holds no number."""
+    s, i = corpus.solutions(spark, sf), F.col("id") % 4
+    return s.select("id", "solution", F.when(i == 0, F.concat(F.lit("The answer is "), (F.col("ans") + 1).cast("string"))).when(i == 1, "no number").when(i == 2, "").alias("answer"))
+
+
+@query(f"{WITH}, a as (select id, coalesce({sql_number(ANSWER_SQL)}, {sql_number('solution')}) gold from sol) select cand.id, j, gold gold_answer, coalesce(abs({sql_number('txt')} - gold) < 1e-6, false) is_correct from cand join a using (id)")
+def gold_answer(spark, sf):
+    scored = passk.score_chains(corpus.candidates(spark, sf).select("id", "j", "txt"), answered(spark, sf))
+    return scored.select("id", "j", "gold_answer", "is_correct")
+
+
 def gold_features(spark, sf) -> DataFrame:
     return chains.features(corpus.solutions(spark, sf).select("id", "solution"), "solution", "")
 
@@ -232,7 +248,7 @@ def text_preview(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.preview(F.col("text")).alias("preview"))
 
 
-SQL_REASON = sql_norm(r"string_split_regex(txt, '(?i)(?:final\s*answer|answer)\s*[:：]')[1]")
+SQL_REASON = sql_norm(r"string_split_regex(txt, '%s')[1]" % K.ANSWER_MARK)
 
 
 @query(f"{WITH} select id, j, {SQL_REASON} reasoning from cand")
@@ -323,11 +339,21 @@ def dag_parse_stats(spark, sf):
     return dag.parse_stats(dag.parse(corpus.solutions(spark, sf).select("id", "solution").unionByName(bare)))
 
 
-@query()
+SQL_DAG = f"""{SQL_BLOCKS}, dp as (select st.id, st.step_pos, list(ed.src order by ed.step_pos) filter (where ed.src is not null) deps from st left join ed on ed.id = st.id and ed.step_pos = st.step_pos group by all)"""
+
+
+@query(rf"""{SQL_DAG}, nd as (select id, string_agg(concat('"', var, '":{{"var":"', var, '","desc":"', "desc", '","step_text":"', step_text, '","dependencies":[', array_to_string(list_transform(coalesce(deps, []::varchar[]), lambda d: concat('"', d, '"')), ','), '],"step_idx":', step_pos, '}}'), ',' order by step_pos) nodes, string_agg(concat('"', var, '"'), ',' order by step_pos) names from st join dp using (id, step_pos) group by id)
+select id, concat('{{"preamble":"We read the order.","order":[', names, '],"tail":"Answer: ', ans, '","nodes":{{', nodes, '}}}}') dag from nd join sol using (id)""")
 def dag_json(spark, sf):
     return parsed(spark, sf).select("id", dag.as_json(F.col("preamble"), F.col("steps"), F.col("tail")).alias("dag"))
 
 
+@query(rf"""{SQL_DAG}, nd as (select id, count(*) c, string_agg(concat(chr(10), '    [', step_pos, '] ', var, '  deps=[', array_to_string(list_transform(coalesce(deps, []::varchar[]), lambda d: concat(chr(39), d, chr(39))), ', '), ']'), '' order by step_pos) lines from st join dp using (id, step_pos) group by id)
+select id, concat('=== ReasoningDAG ===', chr(10), '  Preamble: ', chr(39), 'We read the order.', chr(39), chr(10), '  Steps (', c, '):', lines, chr(10), '  Tail: ', chr(39), 'Answer: ', ans, chr(39)) summary from nd join sol using (id)""")
+def dag_summary(spark, sf):
+    return parsed(spark, sf).select("id", dag.summary(F.col("preamble"), F.col("steps"), F.col("tail")).alias("summary"))
+
+
 # ---- corruption ----------------------------------------------------------------------------------------------------
 def corrupted(spark, sf, kind) -> DataFrame:
     return corrupt.corrupt(parsed(spark, sf), (kind,)).select("id", "rejected")
@@ -346,7 +372,11 @@ def corrupt_computer_error(spark, sf):
     return corrupted(spark, sf, "computer_error")
 
 
-@query()
+@query(rf"""{SQL_BLOCKS}, o as (select ed.id, ed.step_pos spot, ed.src was, e.var became, row_number() over (partition by ed.id order by ed.step_pos, e.step_pos) - 1 k, count(*) over (partition by ed.id) m
+   from ed join st e on e.id = ed.id and e.step_pos < ed.step_pos and e.var <> ed.src),
+c as (select * from o where k = ('0x' || substr(md5(concat_ws('|', id, 'dependency_mismatch', 42)), 1, 7))::bigint % m),
+x as (select st.id, string_agg(case when step_pos = c.spot then regexp_replace(step_text, '\b' || c.was || '\b', c.became) else step_text end, ' ' order by step_pos) t, max(c.spot) spot from st left join c using (id) group by st.id)
+select id, case when spot is not null then concat('We read the order. ', t, ' Answer: ', ans) end rejected from x join sol using (id)""")
 def corrupt_dependency_mismatch(spark, sf):
     return corrupted(spark, sf, "dependency_mismatch")
 
@@ -370,6 +400,14 @@ def corrupt_disorder(spark, sf):
     return corrupted(spark, sf, "disorder")
 
 
+@query(f"""{WITH}, w as (select count(*) attempted, count(*) filter (where n >= 3) three, count(*) filter (where n >= 2) two from sol)
+select 'computer_error' error_type, attempted, attempted succeeded, 1.0::double rate from w union all select 'dependency_mismatch', attempted, three, three::double / attempted from w
+union all select 'missing_nodes', attempted, three, three::double / attempted from w union all select 'disorder', attempted, two, two::double / attempted from w""")
+def corruption_stats(spark, sf):
+    """Of the derived solutions, mismatches and missing steps need three steps, disorder needs two."""
+    return corrupt.corrupt_stats(corpus.solutions(spark, sf).select("id", "solution"))
+
+
 # ---- quality control -----------------------------------------------------------------------------------------------
 SQL_PAIRS = f"{WITH}, pr as (select id, j, case id % 4 when 0 then 'computer_error' when 1 then 'dependency_mismatch' when 2 then 'missing_nodes' else 'disorder' end error_type, {sql_strip('solution')} chosen, {sql_strip('case when (id + j) % 7 = 0 then concat(txt, chr(10), ' + chr(39) + 'Error Type: x' + chr(39) + ') else txt end')} rejected from cand)"
 
@@ -424,7 +462,7 @@ def pairs_dedupe(spark, sf):
     return judged(spark, sf).select("error_type", "id", "j", "reason")
 
 
-QUOTA = 50
+QUOTA = 500
 SQL_QUOTA = f"{SQL_JUDGED}, a as (select *, coalesce(sum((reason = 'ok')::int) over (partition by error_type order by h, id rows between unbounded preceding and 1 preceding), 0) before from f), t as (select * from a where before < {QUOTA})"
 
 
@@ -443,9 +481,9 @@ def qc_failures(spark, sf):
     return sampling.quota(judged(spark, sf), QUOTA).filter("attempted and reason <> 'ok'").groupBy("error_type", "reason").agg(F.count("*").alias("n"))
 
 
-@query(f"{SQL_PAIRS} select error_type, count(*) n, sum(length(chosen))::double / count(*) avg_chosen, sum(length(rejected))::double / count(*) avg_rejected from pr group by 1")
+@query(f"{SQL_PAIRS} select error_type, count(*) n, sum(length(chosen))::double / count(*) avg_chosen, sum(length(rejected))::double / count(*) avg_rejected, round(sum(length(rejected)::double / greatest(length(chosen), 1)) / count(*), 6) avg_ratio from pr group by 1")
 def qc_type_stats(spark, sf):
-    return qc.type_stats(toy_pairs(spark, sf)).select("error_type", "n", "avg_chosen", "avg_rejected")
+    return qc.type_stats(toy_pairs(spark, sf)).select("error_type", "n", "avg_chosen", "avg_rejected", F.round("avg_ratio", 6).alias("avg_ratio"))
 
 
 @query(f"""{WITH}, t as (select id, j, {sql_clean('case when id % 2 = 0 then problem end')} p, {sql_clean('c.solution')} chosen, {sql_clean('txt')} rejected, problem, question from cand c join prob using (id)),
@@ -458,10 +496,27 @@ def dpo_clean_filter(spark, sf):
     return out.select("id", "j", *[F.md5(c).alias(c) for c in ("prompt", "chosen", "rejected")])
 
 
+def with_fields(df: DataFrame) -> DataFrame:
+    """Fields that pairs carry along, made of the id."""
+    return df.withColumns({"template": F.concat(F.lit("t"), (F.col("id") % 5).cast("string")), "op": 2 + F.col("id") % 19, "mode": F.when(F.col("id") % 2 == 0, "normal"), "length": F.col("id") % 4, "d": (F.col("id") % 3).cast("string")})
+
+
+SQL_NUMBERED = f"{SQL_QUOTA}, n as (select *, row_number() over (order by case error_type when 'computer_error' then 0 when 'dependency_mismatch' then 1 when 'missing_nodes' then 2 else 3 end, h, id) - 1 k from t where reason = 'ok')"
+
+
+@query(f"{SQL_NUMBERED} select concat_ws('__', n.id, n.error_type, k) pair_id, n.id, concat('t', n.id % 5) template, 2 + n.id % 19 op, case when n.id % 2 = 0 then 'normal' end \"mode\", n.id % 4 \"length\", cast(n.id % 3 as varchar) d, n.error_type, md5({sql_chat(sql_task(sql_strip))}) prompt, md5(chosen) chosen, md5(rejected) rejected, {sql_strip('problem')} source_problem, {sql_strip('question')} source_question from n join pr using (id, j) join prob using (id)")
+def pair_fields(spark, sf):
+    """Published pairs with the record's fields, by the rules that SQL has too."""
+    texts = with_fields(corpus.problems(spark, sf).select("id", "problem", "question"))
+    numbered = sampling.number_pairs(sampling.quota(judged(spark, sf), QUOTA).filter("kept"))
+    both = toy_pairs(spark, sf).select("id", "j", "chosen", "rejected")
+    return pipelines.pair_record(numbered.join(texts, "id").join(both, ["id", "j"])).withColumns({c: F.md5(c) for c in ("prompt", "chosen", "rejected")})
+
+
 @query()
 def build_pairs(spark, sf):
     """The whole pair construction, with all rules."""
-    return pipelines.build_pairs(corpus.problems(spark, sf), per_type=QUOTA)
+    return pipelines.build_pairs(with_fields(corpus.problems(spark, sf)), per_type=QUOTA)
 
 
 # ---- samples -------------------------------------------------------------------------------------------------------
@@ -478,11 +533,11 @@ def sample_n(spark, sf):
 # ---- generation log ------------------------------------------------------------------------------------------------
 KINDS = K.GENERATED_ERROR_TYPES
 SQL_LOG = f"""{WITH}, lg as (select id, error_type, case id % 5 when 0 then 'not json' when 1 then '{{}}' when 2 then concat('note {{"', error_type, '":{{"rejected":"r', id, '"}}}} end') when 3 then concat('{{"', error_type, '":{{"rejected":5}}}}') else concat('{{"', error_type, '":{{"other":"x"}}}}') end reply,
- case when id % 3 = 0 then 'failed' else 'ok' end status, id % 7 prompt_tokens, id % 11 completion_tokens, id % 7 + id % 11 total_tokens from sol cross join (values ('{KINDS[0]}'), ('{KINDS[1]}'), ('{KINDS[2]}')) k(error_type) where id % 2 = 0)"""
+ case when id % 3 = 0 then 'failed' else 'ok' end status, id % 7 prompt_tokens, id % 11 completion_tokens, id % 7 + id % 11 total_tokens from sol cross join (values ('{KINDS[0]}'), ('{KINDS[1]}'), ('{KINDS[2]}')) k(error_type))"""
 
 
 def toy_log(spark, sf) -> DataFrame:
-    s = corpus.solutions(spark, sf).filter("id % 2 = 0").select("id", F.explode(F.array(*map(F.lit, KINDS))).alias("error_type"))
+    s = corpus.solutions(spark, sf).select("id", F.explode(F.array(*map(F.lit, KINDS))).alias("error_type"))
     i, kind = F.col("id"), F.col("error_type")
     body = lambda inner: F.concat(F.lit('{"'), kind, F.lit('":{'), inner, F.lit("}}"))
     good = F.concat(F.lit("note "), body(F.concat(F.lit('"rejected":"r'), i.cast("string"), F.lit('"'))), F.lit(" end"))
@@ -507,6 +562,33 @@ def llm_token_usage(spark, sf):
     return generation.token_usage(toy_log(spark, sf))
 
 
+def stub_model() -> Callable[[str], tuple[str, dict]]:
+    """A generator made of the order's number: good at once, good at the second try, never answering, or never good."""
+    tries: dict[str, int] = {}
+
+    def model(prompt: str) -> tuple[str, dict]:
+        tries[prompt] = tries.get(prompt, 0) + 1
+        number = int(re.search(r"Order (\d+) has", prompt)[1])
+        kind = next(k for k in KINDS if f'"{k}"' in prompt)
+        if number % 4 == 2:
+            raise RuntimeError("no answer")
+        good = number % 4 == 0 or number % 4 == 1 and tries[prompt] % 3 == 2
+        reply = json.dumps({kind: {"rejected": f"r{number}"}}) if good else json.dumps({kind: {"rejected": 5}}) if number % 4 == 3 else "not json"
+        return reply, {"prompt_tokens": 2, "completion_tokens": 3, "total_tokens": 5}
+
+    return model
+
+
+@query(f"""{WITH}, x as (select id, error_type, [1, 2, 3, 3][id % 4 + 1] attempts, [1, 2, 0, 3][id % 4 + 1] answered from sol cross join (values ('{KINDS[0]}'), ('{KINDS[1]}'), ('{KINDS[2]}')) k(error_type))
+select cast(id as varchar) id, error_type, case when id % 4 < 2 then 'ok' else 'failed' end status, attempts, case id % 4 when 2 then null when 3 then concat('{{"', error_type, '": {{"rejected": 5}}}}') else concat('{{"', error_type, '": {{"rejected": "r', id, '"}}}}') end reply,
+case id % 4 when 2 then 'no answer' when 3 then 'not_string' end error, 2 * answered prompt_tokens, 3 * answered completion_tokens, 5 * answered total_tokens from x""")
+def llm_generate_stub(spark, sf):
+    """Requests of every type to a stub, with the retries that bad replies and errors cause."""
+    wanted = reporting.requests(corpus.problems(spark, sf).select("id", "problem", "question", "solution"))
+    asked = wanted.withColumn("prompt", reporting.request_prompts(K.REQUEST_TEMPLATES))
+    return generation.generate(asked, stub_model(), sleep=lambda _: None)
+
+
 # ---- several models ------------------------------------------------------------------------------------------------
 RAW_NAMES = (*[n for n, _ in K.MODEL_NAMES], "dpo_full_mismatch_414_extra", "QWEN2_0.5B_SFT_OP10_CHECKPOINT-10339", "mix_disorder_compute_error_200each", "injection_missing_1pct", "someone_else", "base")
 SQL_RAW = "(values " + ", ".join(f"({k}, '{n}')" for k, n in enumerate(RAW_NAMES)) + ") r(k, raw)"
@@ -519,7 +601,14 @@ def raw_names(spark) -> DataFrame:
 SQL_MODEL_NAME = "case " + " ".join(f"when contains(lower(raw), '{n.lower()}') or contains('{n.lower()}', lower(raw)) then '{s}'" for n, s in K.MODEL_NAMES) + " else raw end"
 
 
-@query(f"select k, raw, {SQL_MODEL_NAME} model, case when {' or '.join(f'contains(lower(raw), {chr(39)}{w}{chr(39)})' for w in K.FIGURE_NAME_WORDS)} then case when contains(lower(raw), 'compute') then 'compute_error' when contains(lower(raw), 'missing') then 'missing_nodes' when contains(lower(raw), 'mismatch') or contains(lower(raw), 'dep') then 'dependency_mismatch' when contains(lower(raw), 'disorder') then 'disorder' when contains(lower(raw), 'sft') then 'sft' when contains(lower(raw), 'qwen') or contains(lower(raw), 'base') then 'base' else raw end else raw end figure from {SQL_RAW}")
+def sql_held(words) -> str:
+    return "(" + " or ".join(f"contains(lower(raw), '{w}')" for w in words) + ")"
+
+
+SQL_FIGURE = f"case when {sql_held(K.FIGURE_GATE)} then case {' '.join(f'when {sql_held(words)} then {chr(39)}{name}{chr(39)}' for name, words in K.FIGURE_NAMES)} else raw end else raw end"
+
+
+@query(f"select k, raw, {SQL_MODEL_NAME} model, {SQL_FIGURE} figure from {SQL_RAW}")
 def model_name_rules(spark, sf):
     return raw_names(spark).select("k", "raw", reports.model_name(F.col("raw")).alias("model"), reports.figure_name(F.col("raw")).alias("figure"))
 
@@ -575,6 +664,33 @@ def retention_vs_easy(spark, sf):
     return reports.retention(wide, "pass_1")
 
 
+SQL_GAPS = f"{SQL_BY_BUCKET}, g as (select m.model, b.bucket, coalesce(l.pass_4 - l.pass_1, 0.0) gap from (select model from mo union all select 'absent') m cross join (values ('op_2_10'), ('op_11_14'), ('op_15_20')) b(bucket) left join l on l.model = m.model and l.bucket = b.bucket)"
+
+
+@query(f"{SQL_GAPS} select * from g")
+def bucket_gap(spark, sf):
+    """The gap of two rates in every bucket of every model, 0 where a model was not measured."""
+    wide = model_hits(spark, sf).groupBy("model", "bucket").agg(*passk.rates(None, FLAGS))
+    return reports.bucket_gaps([*K.MODEL_ORDER, "absent"], wide, "pass_4", "pass_1", spark)
+
+
+@query(f"{SQL_BY_BUCKET}, r as (select 'pass_1' metric, h.model, h.bucket, h.pass_1 / nullif(a.pass_1, 0) v from l h join l a on a.model = h.model and a.bucket = 'op_2_10' union all select 'pass_4', h.model, h.bucket, h.pass_4 / nullif(a.pass_4, 0) from l h join l a on a.model = h.model and a.bucket = 'op_2_10') select metric, model, max(v) filter (where bucket = 'op_11_14') op_11_14, max(v) filter (where bucket = 'op_15_20') op_15_20 from r group by all")
+def retention_pivot(spark, sf):
+    wide = model_hits(spark, sf).groupBy("model", "bucket").agg(*passk.rates(None, FLAGS))
+    return reports.retentions(wide, ["pass_1", "pass_4"])
+
+
+SQL_EXPERIMENTS = ", ".join(f"('exp1', '{n}')" for n in K.MIXTURES) + ", " + ", ".join(f"('exp2', '{n}')" for n in K.INJECTIONS)
+SQL_PLACES = ", ".join(f"{{'at': instr(n, '{w}'), 't': '{t}'}}" for w, t in K.MIXTURE_TYPES.items())
+
+
+@query(rf"""with e(g, n) as (values {SQL_EXPERIMENTS}), p as (select *, list_sort(list_filter([{SQL_PLACES}], lambda x: x.at > 0)) t, try_cast(nullif(regexp_extract(n, '_(\d+)pct_', 1), '') as int) pct, coalesce(try_cast(nullif(regexp_extract(n, '_total(\d+)$', 1), '') as int), 2 * try_cast(nullif(regexp_extract(n, '_(\d+)each$', 1), '') as int)) total from e),
+q as (select *, cast(case when pct is null then total // 2 else total * pct // 100 end as int) first_n from p)
+select g exp_group, n experiment, t[1].t first_type, first_n, t[2].t second_type, total - first_n second_n, total from q""")
+def experiment_dimension(spark, sf):
+    return reporting.experiments(spark)
+
+
 @query(f"{SQL_MODELS}, e as (select model, avg(pass_1::int) filter (where bucket = 'op_2_10') easy, avg(pass_1::int) filter (where bucket in ('op_11_14', 'op_15_20')) hard from pp group by model) select model, easy, hard, case when hard is not null and easy > 0 then greatest(0.0::double, (easy - hard) / easy) end decay from e")
 def model_decay(spark, sf):
     return passk.decay(model_hits(spark, sf), keys=["model"])

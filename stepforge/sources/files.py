@@ -74,3 +74,13 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
 def write_text(spark: SparkSession, content: str, path: str) -> None:
     """One small report file."""
     spark.createDataFrame([(content,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_file(spark: SparkSession, content: str, path: str) -> None:
+    """One small file of exactly this name, in any store that Spark writes to."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(content.encode("utf-8")))
+    finally:
+        out.close()

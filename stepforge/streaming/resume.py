@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from stepforge.operators import generation
 
 
-def answer_stream(requests: DataFrame, log_path: str, checkpoint: str, model: Callable[[str], tuple[str, dict]]) -> StreamingQuery:
+def answer_stream(requests: DataFrame, log_path: str, checkpoint: str, model: Callable[[str], tuple[str, dict]], check=generation.reply_error) -> StreamingQuery:
     """Appends to a Parquet log the answers to streamed requests (id, error_type, prompt) that it does not hold yet.
 
     A batch that is replayed after a failure finds its finished items in the log and skips them.
@@ -22,6 +22,6 @@ def answer_stream(requests: DataFrame, log_path: str, checkpoint: str, model: Ca
         known = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
         log = spark.read.schema(generation.LOG).parquet(log_path) if known else spark.createDataFrame([], generation.LOG)
         todo = generation.pending(rows.dropDuplicates(["id", "error_type"]), log)
-        generation.generate(todo, model).write.mode("append").parquet(log_path)
+        generation.generate(todo, model, check=check).write.mode("append").parquet(log_path)
 
     return requests.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

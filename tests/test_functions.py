@@ -14,12 +14,22 @@ def values(spark, items, column, kind="string"):
 
 
 def test_last_number(spark):
-    given = ["The answer is 42.", "Result: -3.14", "First 10 then 20 then 30", "No numbers here", None, "3-2"]
-    assert values(spark, given, T.last_number) == [42.0, -3.14, 30.0, None, None, -2.0]
+    given = ["We get 17.", "so x = -0.25", "7, 8 and at last 96", "nothing to see", None, "3-2", "1.", "a1b"]
+    assert values(spark, given, T.last_number) == [17.0, -0.25, 96.0, None, None, -2.0, 1.0, 1.0]
+
+
+def test_gold_answer(spark):
+    rows = [("about 12", "Answer: 5"), ("no number", "Answer: 5"), (None, "Answer: 6"), (None, "none")]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, a string, s string").orderBy("i")
+    assert [r[0] for r in df.select(T.gold_answer(F.col("a"), F.col("s"))).collect()] == [12.0, 5.0, 6.0, None]
+
+
+def test_percent(spark):
+    assert values(spark, [0.29, 0.125, 0.135, 1.0, 0.0, None], T.percent, "double") == ["29%", "12%", "14%", "100%", "0%", None]
 
 
 def test_normalizing(spark):
-    given = ["  A\t b\n C ", None, "", "x  Y"]
+    given = ["  A\t b\n C\x1c", None, "", "x  Y"]
     assert values(spark, given, T.normalize) == ["a b c", "", "", "x y"]
     assert values(spark, given, T.clean) == ["A b C", "", "", "x Y"]
     assert values(spark, ["Think. Final Answer: 3", "so Answer： 4", "nothing"], T.reasoning) == ["think.", "so", "nothing"]
@@ -33,7 +43,7 @@ def test_buckets(spark):
 
 
 def test_perturbed(spark):
-    given = ["5", "10", "100", "999", "1", "0"]
+    given = ["7", "23", "640", "1001", "2", "1", "0"]
     for seed in range(8):
         new = [int(x) for x in values(spark, given, lambda x, s=seed: T.perturbed(x, F.md5(F.concat(x, F.lit(str(s))))))]
         assert all(n > 0 and n != int(o) and abs(n - int(o)) <= 2 for n, o in zip(new, given, strict=True))
@@ -44,11 +54,12 @@ def equation_sets(spark, texts):
 
 
 def test_equations(spark):
-    got = equation_sets(spark, ["7 + 3 = 10", "3 + 7 = 10", "4 * 5 = 20", "5 x 4 = 20", "5 × 4 = 20", "8 ÷ 2 = 4", "none", "10 / 2 = 5. 3 - 1 = 2. 4 * 6 = 24", "7 + 3 = 10 + 2 = 12"])
-    assert got[0] == got[1] == [(3.0, "+", 7.0, 10.0)]
-    assert got[2] == got[3] == got[4]
-    assert got[5] == [(8.0, "/", 2.0, 4.0)]
-    assert got[6] == [] and len(got[7]) == 3 and len(got[8]) == 1
+    texts = ["2 + 9 = 11", "9 + 2 = 11", "6 * 7 = 42", "7 x 6 = 42", "7 × 6 = 42", "12 ÷ 4 = 3", "words", "18/3=6 and 9 - 5 = 4, then 2.5 * 2 = 5", "2 + 9 = 11 + 4 = 15", "8 X 2 = 16"]
+    got = equation_sets(spark, texts)
+    assert got[0] == got[1] == got[8] == [(2.0, "+", 9.0, 11.0)]
+    assert got[2] == got[3] == got[4] == [(6.0, "*", 7.0, 42.0)]
+    assert got[5] == [(12.0, "/", 4.0, 3.0)] and got[6] == [] and got[9] == [(2.0, "*", 8.0, 16.0)]
+    assert got[7] == [(2.0, "*", 2.5, 5.0), (9.0, "-", 5.0, 4.0), (18.0, "/", 3.0, 6.0)]
 
 
 def graph(spark, text):
@@ -57,7 +68,7 @@ def graph(spark, text):
 
 
 def test_graphs(spark):
-    assert graph(spark, "x = 3.5")["raw"] == [("x", "CONST")]
+    assert graph(spark, "x = 3.5")["raw"] == [("x", "CONST")] and graph(spark, "x = . y=z")["raw"] == [("y", "z")]
     assert graph(spark, "a = b = 5")["raw"] == [("a", "b")]
     assert graph(spark, "") == {k: [] for k in chains.FEATURES}
     shared = graph(spark, "define p as a; define q as a")

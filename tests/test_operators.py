@@ -120,14 +120,31 @@ def test_generation_retries_and_counts(spark):
     def model(prompt):
         if prompt == "bad":
             raise RuntimeError("no")
-        return prompt.upper(), {"prompt_tokens": 2, "completion_tokens": 3, "total_tokens": 5}
+        model.calls = getattr(model, "calls", 0) + 1
+        reply = '{"x": {"rejected": "r"}}' if prompt == "hello" or model.calls % 3 == 0 else "not json"
+        return reply, {"prompt_tokens": 2, "completion_tokens": 3, "total_tokens": 5}
 
-    req = spark.createDataFrame([("1", "x", "hello"), ("2", "x", "bad")], "id string, error_type string, prompt string")
-    log = generation.generate(req, model, sleep=lambda _: None)
+    req = spark.createDataFrame([("1", "x", "hello"), ("2", "x", "bad"), ("3", "x", "third time")], "id string, error_type string, prompt string").coalesce(1)
+    log = spark.createDataFrame(generation.generate(req, model, sleep=lambda _: None).collect(), generation.LOG)
     got = {r["id"]: r for r in log.collect()}
-    assert (got["1"]["status"], got["1"]["reply"], got["2"]["status"], got["2"]["attempts"]) == ("ok", "HELLO", "failed", 3)
+    assert (got["1"]["status"], got["1"]["attempts"], got["1"]["error"]) == ("ok", 1, None)
+    assert (got["2"]["status"], got["2"]["attempts"], got["2"]["error"]) == ("failed", 3, "no")
+    assert (got["3"]["status"], got["3"]["attempts"], got["3"]["total_tokens"]) == ("ok", 2, 10)
     assert [r["id"] for r in generation.pending(req, log).collect()] == ["2"]
-    assert generation.token_usage(log).first()["total_tokens"] == 5
+    assert generation.token_usage(log).first()["total_tokens"] == 15
+
+
+def test_a_reply_without_the_text_is_a_failure(spark):
+    req = spark.createDataFrame([("1", "x", "p")], "id string, error_type string, prompt string")
+    row = generation.generate(req, lambda _: ("not json", {"total_tokens": 1}), sleep=lambda _: None).first()
+    assert (row["status"], row["attempts"], row["error"], row["total_tokens"]) == ("failed", 3, "not_json", 3)
+    assert generation.generate(req, lambda _: ("not json", {}), check=None).first()["status"] == "ok"
+
+
+def test_candidates(spark):
+    problems = spark.createDataFrame([(1, "a"), (2, "b")], "id long, prompt string")
+    out = generation.candidates(problems, lambda p, k: [f"{p}{i}" for i in range(k)], 3)
+    assert sorted(map(tuple, out.collect())) == [(1, 0, "a0"), (1, 1, "a1"), (1, 2, "a2"), (2, 0, "b0"), (2, 1, "b1"), (2, 2, "b2")]
 
 
 def test_replies(spark):
@@ -136,6 +153,7 @@ def test_replies(spark):
     df = spark.createDataFrame([(i, c[0], kind) for i, c in enumerate(cases)], "i int, reply string, kind string")
     got = df.orderBy("i").select(*[c.alias(n) for n, c in generation.reply_fields(F.col("reply"), F.col("kind")).items()]).collect()
     assert [tuple(r) for r in got] == [c[1:] for c in cases]
+    assert [generation.reply_error(c[0], kind) for c in cases] == [c[1] for c in cases]
 
 
 def test_pairs_end_to_end(spark):
@@ -145,12 +163,71 @@ def test_pairs_end_to_end(spark):
     assert all(r["chosen"] != r["rejected"] for r in out)
 
 
+@pytest.mark.parametrize("margin", [1, 4])
+def test_pairs_need_only_the_first_rows(spark, margin):
+    """The rows tried are those of a run over everything, however few are looked at first."""
+    texts = [TEXT.replace("plums", f"plums{i}") if i % 3 else "no steps at all" for i in range(120)]
+    df = spark.createDataFrame([(str(i), "How many?", None, t, "t", 3) for i, t in enumerate(texts)], "id string, problem string, question string, solution string, template string, op int")
+    whole = sampling.quota(pipelines.judged_pairs(df), 6)
+    part = pipelines.tried_pairs(df, per_type=6, margin=margin)
+    key = lambda rows: sorted((r["error_type"], r["id"], r["reason"], r["kept"]) for r in rows.filter("attempted").collect())
+    assert key(part) == key(whole) and len({r[0] for r in key(part)}) == 4
+    out = pipelines.build_pairs(df, per_type=6).first()
+    assert (out["template"], out["op"]) == ("t", 3) and "nodes" in json.loads(out["dag"])
+
+
+def test_corruption_of_one_text_and_rates(spark):
+    assert corrupt.corrupt_solution(spark, TEXT, "disorder") not in (None, TEXT)
+    assert corrupt.corrupt_solution(spark, None, "disorder") is None
+    df = spark.createDataFrame([(1, TEXT), (2, "nothing"), (3, "Define p as q; so q = 1. Answer: 1")], "id int, solution string")
+    got = {r["error_type"]: (r["attempted"], r["succeeded"]) for r in corrupt.corrupt_stats(df).collect()}
+    assert got == {"computer_error": (2, 2), "dependency_mismatch": (2, 1), "missing_nodes": (2, 1), "disorder": (2, 1)}
+    assert {r["attempted"] for r in corrupt.corrupt_stats(df, first=1).collect()} == {1}
+
+
+def test_summary_text(spark):
+    rows = parsed(spark, "It's on. Define a as x; so x = 1. Define b as y; so y = x. Define c as x; so x = 2. Answer: 2")
+    text = rows.select(dag.summary(F.col("preamble"), F.col("steps"), F.col("tail"))).first()[0]
+    lines = ["=== ReasoningDAG ===", '  Preamble: "It\'s on."', "  Steps (3):", "    [2] x  deps=[]", "    [1] y  deps=['x']", "    [2] x  deps=[]", "  Tail: 'Answer: 2'"]
+    assert text.split("\n") == lines
+
+
 def test_evaluate(spark):
     p = spark.createDataFrame([(1, "3", TEXT), (2, None, "Answer: 4")], "id long, op string, solution string")
     c = spark.createDataFrame([(1, 0, "Answer: 8"), (1, 1, TEXT)], "id long, j long, txt string")
     got = {r["id"]: r for r in pipelines.evaluate(p, c, (1, 2)).collect()}
     assert (got[1]["pass_1"], got[1]["pass_2"], got[1]["chain_2"]) == (False, True, True)
-    assert got[2]["pass_2"] is False and got[2]["bucket"] == "unknown"
+    assert got[2]["pass_2"] is False and got[2]["bucket"] == "unknown" and got[2]["op"] is None
+
+
+def test_evaluate_by_the_answer_column(spark):
+    p = spark.createDataFrame([(1, "3", "Answer: 7", "it is 42"), (2, "4", "Answer: 7", None)], "id long, op string, solution string, answer string")
+    c = spark.createDataFrame([(1, 0, "Answer: 42"), (2, 0, "Answer: 7")], "id long, j long, txt string")
+    assert all(r["pass_1"] for r in pipelines.evaluate(p, c, (1,)).collect())
+    named = c.withColumn("model", F.lit("m"))
+    got = {(r["model"], r["id"]): r["pass_1"] for r in pipelines.evaluate(p, named, (1,), models=["m", "none"]).collect()}
+    assert got == {("m", 1): True, ("m", 2): True, ("none", 1): False, ("none", 2): False}
+
+
+def test_similarity_queries_by_brute_force(spark):
+    from stepforge.functions import similarity as S
+    from stepforge.plans import queries
+
+    folder = "/root/testdata/sf0.001"
+    pairs = {(r["id"], r["j"]): r for r in queries.toy_pairs(spark, folder).collect()}
+    limits = qc.Limits()
+    for row in queries.qc_similarity(spark, folder).orderBy("id", "j").limit(400).collect():  # noqa: E501  the query itself runs over the whole table
+        p = pairs[row["id"], row["j"]]
+        ratio = S.ratio(p["chosen"], p["rejected"])
+        if row["similarity"] is not None:
+            assert row["similarity"] == ratio
+            assert (row["reason"] == "too_similar") == (ratio > limits.max_similarity) and (row["reason"] == "too_different") == (ratio < limits.min_similarity)
+        elif row["reason"] == "too_different":
+            assert ratio < limits.min_similarity
+    for row in queries.pair_differences(spark, folder).collect():
+        p = pairs[row["id"], row["j"]]
+        want = S.first_difference(p["chosen"], p["rejected"])
+        assert (row["tag"], row["chosen_part"], row["rejected_part"]) == ((want["tag"], want["chosen"], want["rejected"]) if want else (None, None, None))
 
 
 def test_files(spark, tmp_path):
@@ -176,6 +253,17 @@ def test_files(spark, tmp_path):
     assert "N/A" in reports.markdown([{"m": "x", "v": None}, {"m": "y", "v": 0.5}], ["m", "v"])
 
 
+def test_written_files(spark, tmp_path):
+    rows = spark.createDataFrame([("1", "p", "s", "disorder", "a"), ("2", " ", "s", "missing_nodes", "b")], "id string, problem string, solution string, error_type string, pair_id string")
+    assert [r["id"] for r in files.usable(rows).collect()] == ["1"]
+    path = str(tmp_path / "log")
+    files.write_records(rows, path)
+    files.append_log(rows, path)
+    assert files.read_log(spark, path, "id string")[0].count() == 4
+    files.write_by_type(rows, str(tmp_path / "pairs"))
+    assert spark.read.json(str(tmp_path / "pairs" / "by_type")).count() == 2 == spark.read.json(str(tmp_path / "pairs" / "mixed")).count()
+
+
 def test_stream_answers_once(spark, tmp_path):
     from stepforge.streaming import resume
 
@@ -183,7 +271,7 @@ def test_stream_answers_once(spark, tmp_path):
     schema = "id string, error_type string, prompt string"
     spark.createDataFrame([("1", "x", "a"), ("1", "x", "a"), ("2", "x", "b")], schema).write.parquet(str(source))
     for _ in range(2):
-        q = resume.answer_stream(spark.readStream.schema(schema).parquet(str(source)), str(tmp_path / "log"), str(tmp_path / "cp"), lambda p: (p, {}))
+        q = resume.answer_stream(spark.readStream.schema(schema).parquet(str(source)), str(tmp_path / "log"), str(tmp_path / "cp"), lambda p: (p, {}), check=None)
         q.awaitTermination()
         spark.createDataFrame([("2", "x", "b"), ("3", "x", "c")], schema).write.mode("append").parquet(str(source))
     assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "log")).collect()) == ["1", "2", "3"]
