@@ -3,6 +3,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,16 +48,40 @@ def lines_by_hand(rows, min_chars=40, min_docs=5):
     return sorted(out)
 
 
-@pytest.mark.parametrize("limit", [linededup.BROADCAST_BYTES, 100])
-def test_lines(spark, limit):
-    rnd = random.Random(1)
+def line_rows(seed, n=60):
+    rnd = random.Random(seed)
     pool = ["Line %02d " % i + "é" * rnd.randrange(20, 60) for i in range(30)]
-    rows = [(i, None if i == 3 else "\n".join(rnd.choice(["  ", "", "\t"]) + (x.upper().replace("É", "é") if rnd.random() < 0.3 else x) for x in rnd.choices(pool, k=rnd.randrange(0, 9)))) for i in range(60)]
+    return [(i, None if i == 3 else "\n".join(rnd.choice(["  ", "", "\t"]) + (x.upper().replace("É", "é") if rnd.random() < 0.3 else x) for x in rnd.choices(pool, k=rnd.randrange(0, 9)))) for i in range(n)]
+
+
+@pytest.mark.parametrize(("limit", "portion"), [(linededup.BROADCAST_BYTES, 0), (100, linededup.PORTION), (60, 3)])
+def test_lines(spark, monkeypatch, limit, portion):
+    monkeypatch.setattr(linededup, "PORTION", portion or linededup.PORTION)
+    rows = line_rows(1)
     got = linededup.dedup_lines(frame(spark, rows), broadcast_bytes=limit).select("doc_id", "n_lines", "n_dropped", "text").collect()
     assert sorted(map(tuple, got)) == lines_by_hand(rows)
     assert sum(r["n_dropped"] for r in got) > 0
 
 
+@pytest.mark.parametrize("limit", [linededup.BROADCAST_BYTES, 60])
+def test_lines_of_repeated_and_missing_ids(spark, limit):
+    """Documents are distinct doc_ids: four of them, one with two rows, drop nothing."""
+    four, five = "four documents hold this line, one of them twice", "five documents hold this line, one of them twice"
+    rows = [(k, four) for k in (1, 2, 3, 4, 4)] + [(k, five + "\n" + five) for k in (1, 2, 3, 4, 5, 5)] + [(None, five), (9, "x" * 200_000 + "\n" + five)]
+    out = linededup.dedup_lines(frame(spark, rows).withColumns({"_lines0": F.lit("a"), "_dropped0": F.lit("b"), "_gone": F.lit("c"), "shard": F.lit("d"), "tag1": F.lit("e")}), broadcast_bytes=limit).collect()
+    got = sorted((r["doc_id"] or 0, r["n_lines"], r["n_dropped"]) for r in out)
+    singles = [(1, 1, 0), (2, 1, 0), (3, 1, 0), (4, 1, 0), (4, 1, 0)]
+    assert got == sorted([*singles, (0, 1, 1), *[(k, 2, 2) for k in (1, 2, 3, 4, 5, 5)], (9, 2, 0)])
+    assert {r["_lines0"] for r in out} == {"a"} and {r["_dropped0"] for r in out} == {"b"}
+
+
+def test_a_line_of_very_many_documents_costs_few_rows(spark):
+    line = "a license line that very many of the documents hold"
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5000), pa.int64()), pa.array([line] * 5000)], names=["doc_id", "text"])
+    sent = [np.frombuffer(x, linededup.TRIPLE) for b in linededup.send_hashes([batch], 40, 5, 8) for x in b.column(1).to_pylist()]
+    assert sorted(np.concatenate(sent)["doc"].tolist()) == [0, 1, 2, 3, 4, 4999]
+
+
 def test_lines_other_columns_and_no_rows(spark):
     df = frame(spark, [(1, "a"), (None, "b")]).withColumns({"n_lines": F.lit("clash"), "h1": F.lit(1)})
     out = linededup.dedup_lines(df)
@@ -68,10 +93,22 @@ def test_perfect_hash():
     keys = np.unique(np.random.default_rng(3).integers(0, 1 << 63, 5000, dtype=np.uint64))
     h = linededup.PerfectHash(keys)
     assert sorted(h.slots(keys)) == list(range(len(keys)))
-    shard = linededup.Shard.load(linededup.Shard(keys, keys ^ np.uint64(5), np.arange(len(keys)), np.arange(len(keys)) * 2).dump())
-    found, keeper = shard.probe(keys, keys ^ np.uint64(5))
-    assert found.all() and (keeper == np.arange(len(keys)) * 2).all()
-    assert not shard.probe(keys, keys)[0].any()
+    # two keys that share h1 are told apart
+    h1, h2 = np.sort(np.append(keys, keys[:3])), None
+    h2 = h1 ^ np.uint64(5)
+    h2[1:][h1[1:] == h1[:-1]] += np.uint64(99)
+    order = np.lexsort((h2, h1))
+    h1, h2 = h1[order], h2[order]
+    full = linededup.Shard(h1, h2)
+    doc = np.arange(len(h1)) * 2
+    full.fill(h1, h2, doc)
+    full.fill(h1[::2], h2[::2], doc[::2] - 1)
+    for shard in (full, linededup.Shard.load(full.dump())):
+        at = shard.slots(h1, h2)
+        assert sorted(at) == list(range(len(h1))) and (shard.keeper[at] == doc).all()
+        assert (shard.count[at] == 1 + (np.arange(len(h1)) % 2 == 0)).all()
+        assert (shard.slots(h1, h2 ^ np.uint64(1 << 40)) == -1).all()
+        assert shard.drops(h1, h2, doc, 1).sum() == 0 and shard.drops(h1, h2, doc + 1, 2).sum() == (len(h1) + 1) // 2
 
 
 # ---- repeated byte strings ----
