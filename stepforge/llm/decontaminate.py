@@ -44,14 +44,17 @@ def shifted(value: Column, by: Column) -> Column:
     return F.call_function("shiftrightunsigned", value, by)
 
 
-def fingerprint(hashes: Column) -> Column:
-    """SimHash: bit b is set if more than half of the hashes (repeats count) have it. Counts are kept in 16-bit lanes."""
-    lanes, zero = F.lit(sum(1 << k for k in range(0, 64, LANE_BITS))), F.lit(0).cast("long")
-    sums = F.transform(F.sequence(F.lit(0), F.lit(LANE_BITS - 1)), lambda r: F.aggregate(hashes, zero, lambda a, h: a + shifted(h, r).bitwiseAND(lanes)))
+def fingerprint(hashes: Column, lane: int = LANE_BITS) -> Column:
+    """SimHash: bit b is set if more than half of the hashes (repeats count) have it.
+
+    Counts are kept in lanes of 16 bits, or of 32 bits where there are 65,536 hashes or more.
+    """
+    lanes, zero = F.lit(sum(1 << k for k in range(0, 64, lane))), F.lit(0).cast("long")
+    sums = F.transform(F.sequence(F.lit(0), F.lit(lane - 1)), lambda r: F.aggregate(hashes, zero, lambda a, h: a + shifted(h, r).bitwiseAND(lanes)))
 
     def bits(s: Column) -> Column:
-        # bit b is counted in lane b // 16 of the sum for b % 16
-        count = lambda b: shifted(F.get(s, b % LANE_BITS), (b - b % LANE_BITS)).bitwiseAND(F.lit((1 << LANE_BITS) - 1))
+        # bit b is counted in lane b // lane of the sum for b % lane
+        count = lambda b: shifted(F.get(s, b % lane), (b - b % lane)).bitwiseAND(F.lit((1 << lane) - 1))
         one = lambda b: F.call_function("shiftleft", F.lit(1).cast("long"), b)
         return F.aggregate(F.sequence(F.lit(0), F.lit(63)), zero, lambda out, b: out.bitwiseOR(F.when(2 * count(b) > F.size(hashes), one(b)).otherwise(zero)))
 
@@ -69,10 +72,27 @@ def blocks(value: Column, near: bool) -> Column:
 
 
 def similarity(a: Column, b: Column) -> Column:
-    """Weighted Jaccard similarity of two arrays of hashes, each with its number of occurrences."""
+    """Weighted Jaccard similarity of two arrays of hashes, each with its number of occurrences.
+
+    Distinct hashes are intersected as sets; what an array holds beyond the first of each hash, in natural text little,
+    is then compared in the same way, and only what occurs three times or more is counted hash by hash.
+    """
     times = lambda arr, x: F.size(F.filter(arr, lambda y: y == x))
-    shared = F.aggregate(F.array_intersect(a, b), F.lit(0), lambda n, x: n + F.least(times(a, x), times(b, x)))
-    return shared / (F.size(a) + F.size(b) - shared)
+    counted = lambda x, y: F.aggregate(F.array_intersect(x, y), F.lit(0), lambda n, v: n + F.least(times(x, v), times(y, v)))
+
+    def again(x: Column) -> Column:
+        """Every hash once less than it occurs."""
+        none = F.slice(x, 1, 0)
+        spare = lambda s: F.filter(s, lambda v, i: F.coalesce(F.get(s, i - 1) == v, F.lit(False)))
+        return F.when(F.size(F.array_distinct(x)) == F.size(x), none).otherwise(bind(F.array_sort(x), spare))
+
+    def shared(x: Column, y: Column, depth: int) -> Column:
+        if not depth:
+            return counted(x, y)
+        rest = bind(F.struct(again(x).alias("x"), again(y).alias("y")), lambda r: F.when((F.size(r["x"]) == 0) | (F.size(r["y"]) == 0), F.lit(0)).otherwise(shared(r["x"], r["y"], depth - 1)))
+        return F.size(F.array_intersect(x, y)) + rest
+
+    return bind(shared(a, b, 2), lambda n: n / (F.size(a) + F.size(b) - n))
 
 
 def benchmark_items(benchmark: DataFrame) -> DataFrame:
@@ -88,14 +108,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80) -> DataFrame
     A document leaks an item if some window with the item's number of words (the whole document, if that is shorter)
     has a weighted shingle similarity of ``percent`` / 100 at least, and its fingerprint is within RADIUS of the item's
     (at similarity 0.8 the expected distance is 10 with deviation 3). Null texts have no words; equal rows of either
-    table give one row a pair of ids; empty tables give no rows; other columns are ignored. Items of over 65,535
-    shingles are refused, since fingerprint lanes count to that.
+    table give one row a pair of ids; empty tables give no rows; other columns are ignored. Items and texts may have any
+    length; windows of one item overlap in all but the first and the last tenth at most, so a leaked item of n words
+    costs up to about n / 5 windows of n words.
     """
     work = Workspace(docs.sparkSession, "decontaminate")
     items = work.save(benchmark_items(benchmark.select(F.col("item_id").cast("long"), "text")), "items")
     most, sizes = items.agg(F.max("m"), F.collect_set("k")).first()
-    if (most or 0) >= 1 << LANE_BITS:
-        raise ValueError("an item has too many shingles")
+    lane = LANE_BITS if (most or 0) < 1 << LANE_BITS else 32
     # distinct hashes of an item; need: hits that a window of m shingles must have
     need = F.ceil(2 * F.col("m") * percent / (100 + percent)).cast("int")
     wanted = items.select("item_id", "n", "k", "m", need.alias("need"), F.explode(F.array_distinct("hashes")).alias("h"))
@@ -119,17 +139,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80) -> DataFrame
     dense = F.filter(F.transform("at", lambda p, i: F.when(F.get(F.col("at"), i + F.col("need") - 1) - p < F.col("m"), p)), lambda p: p.isNotNull())
     first = lambda p: F.greatest(p - (F.col("m") - F.col("need")), F.lit(0))
     last = lambda p: F.least(p, F.col("n_doc") - F.col("n"))
-    starts = F.flatten(F.transform(dense, lambda p: F.when(first(p) <= last(p), F.sequence(first(p), last(p))).otherwise(F.array(last(p)))))
-    pairs = pairs.withColumn("starts", F.when(short, F.array(F.lit(0))).otherwise(F.array_distinct(starts))).filter(F.size("starts") > 0)
+
+    def reach(places: Column) -> Column:
+        """All starts that a place permits; first() and last() rise with it, so each place adds those beyond the one before."""
+        begin = lambda p, i: F.greatest(F.least(first(p), last(p)), F.when(i > 0, last(F.get(places, i - 1)) + 1).otherwise(F.lit(0)))
+        return F.flatten(F.transform(places, lambda p, i: F.when(begin(p, i) <= last(p), F.sequence(begin(p, i), last(p))).otherwise(F.slice(places, 1, 0))))
+
+    pairs = pairs.withColumn("starts", F.when(short, F.array(F.lit(0))).otherwise(bind(dense, reach))).filter(F.size("starts") > 0)
     candidates = work.save(pairs.groupBy("doc_id", "k", "n").agg(F.array_distinct(F.flatten(F.collect_set("starts"))).alias("starts")), "candidates")
 
     window = F.explode(F.transform("starts", lambda s: F.struct(s.alias("start"), F.slice(F.col("words"), s + 1, F.col("n")).alias("w"))))
     windows = candidates.join(texts, "doc_id").select("doc_id", "k", "n", window.alias("x")).select("doc_id", "k", "n", "x.start", "x.w")
     by_size = F.coalesce(*[F.when(F.col("k") == k, shingles(F.col("w"), k)) for k in sorted(sizes)])
     windows = windows.select("doc_id", "n", "k", "start", F.explode(F.array(by_size)).alias("hashes")).filter(F.size("hashes") > 0)
-    windows = work.save(windows.withColumn("print", fingerprint(F.col("hashes"))), "windows")
+    windows = work.save(windows.withColumn("print", fingerprint(F.col("hashes"), lane)), "windows")
 
-    prints = items.withColumn("print", fingerprint(F.col("hashes")))
+    prints = items.withColumn("print", fingerprint(F.col("hashes"), lane))
     index = prints.select("item_id", "n", "k", F.col("print").alias("item_print"), F.explode(blocks(F.col("print"), True)).alias("x")).select("item_id", "n", "k", "item_print", "x.b", "x.v")
     index_rows = items.count() * BLOCKS * 37
     hint_index = F.broadcast if index_rows <= BROADCAST_ROWS else lambda df: df

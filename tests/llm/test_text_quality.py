@@ -158,6 +158,25 @@ def test_leaks_of_query(spark):
     assert {(r["doc_id"], r["item_id"]) for r in queries.op9_decontamination(spark, SCALE).collect()} == set(leaks_by_hand(docs, items))
 
 
+def test_leaks_of_very_long_items(spark):
+    """More shingles than 16 bits count: found in a document of just these words, in a shorter one, not in others."""
+    rnd = random.Random(4)
+    words = [f"w{rnd.randrange(30000)}" for _ in range(70_000)]
+    docs = [(1, " ".join(words)), (2, " ".join(words[:60_000])), (3, " ".join(words[:30_000])), (4, "la " * 70_010)]
+    items = spark.createDataFrame([(7, " ".join(words)), (8, "some words that are an item of the usual size")], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["start"], round(r["similarity"], 3)) for r in decontaminate.leaks(frame(spark, docs), items).collect()}
+    assert got == {(1, 7): (0, 1.0), (2, 7): (0, 0.857)}
+
+
+def test_similarity_counts_repeats(spark):
+    rnd = random.Random(6)
+    rows = [([rnd.randrange(6) for _ in range(rnd.randrange(1, 30))], [rnd.randrange(6) for _ in range(rnd.randrange(1, 30))]) for _ in range(60)]
+    got = spark.createDataFrame(rows, "a array<long>, b array<long>").select("a", "b", decontaminate.similarity(F.col("a"), F.col("b")).alias("s")).collect()
+    for r in got:
+        x, y = Counter(r["a"]), Counter(r["b"])
+        assert r["s"] == pytest.approx((x & y).total() / (x | y).total())
+
+
 def test_leaks_of_nothing(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.leaks(frame(spark, [(1, "a b")]), none).count() == 0
