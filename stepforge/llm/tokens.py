@@ -2,7 +2,7 @@
 
 A byte-level BPE works on each pre-token by itself, so a text's ids are its pre-tokens' ids put together. Pre-tokens
 are found and hashed with array operations; known ones take their ids from a sorted table of bounded size, new ones
-go to the library. Texts with characters outside ASCII and the Latin letters, on which classes or Unicode versions
+go to the library's model, which splits them. Texts with characters outside ASCII and the Latin letters, on which classes or Unicode versions
 could differ, go to the library whole, and so do texts that hold an added token of the vocabulary (as <|endoftext|>),
 which the library takes out before it looks for pre-tokens: ids are those of its defaults, without special tokens put
 around a text.
@@ -28,6 +28,17 @@ CLASS[48:58] = DIGITS
 CLASS[[0x20, 0x09, 0x0A, 0x0D]] = BLANK
 
 
+def byte_letters() -> np.ndarray:
+    """The character that stands for each byte in a byte-level vocabulary: printable Latin-1 ones for themselves, the
+    others by turn from U+0100."""
+    own = np.zeros(256, bool)
+    own[33:127] = own[161:173] = own[174:] = True
+    return np.where(own, np.arange(256), 255 + np.cumsum(~own)).astype("<u2")
+
+
+BYTE_LETTERS = byte_letters()
+
+
 def boundaries(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Starts of the pre-tokens of plain texts (see foreign()).
 
@@ -78,10 +89,19 @@ class Encoder:
     def __init__(self, vocabulary: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.models import BPE
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.library = Tokenizer.from_file(vocabulary)
         self.added = [x.content.encode() for x in self.library.get_added_tokens_decoder().values() if x.content]
-        self.joins = not any(b" " in x[1:] for x in self.added)  # words in a run make no added token
+        # the model alone, with a copy of its own, and no cache: it is asked for new pre-tokens only
+        self.model = Tokenizer.from_file(vocabulary).model
+        if hasattr(self.model, "_resize_cache"):
+            self.model._resize_cache(0)
+        split = self.library.pre_tokenizer
+        known = isinstance(split, ByteLevel) and not split.add_prefix_space and getattr(split, "use_regex", True)
+        #: Whether the vocabulary cuts texts in the way that boundaries() does; otherwise all go to the library whole.
+        self.plain = isinstance(self.model, BPE) and known and self.library.normalizer is None
         self.clear()
 
     def clear(self) -> None:
@@ -102,30 +122,14 @@ class Encoder:
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.asarray(x.ids, np.uint32) for x in self.library.encode_batch(texts, add_special_tokens=False)]
 
-    def ids_of(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of pre-tokens in some order, where each one's begin, and how many it has.
-
-        Words with a space go to the library in long runs, which cost less a word.
-        """
-        word = np.asarray([self.joins and x[0] == " " and x[1:].isalpha() for x in parts], bool)
-        starts, sizes = np.zeros(len(parts), np.int64), np.zeros(len(parts), np.int64)
-        pieces, total = [], 0
-        rest = np.flatnonzero(~word)
-        single = self.whole([parts[k] for k in rest])
-        sizes[rest] = [len(x) for x in single]
-        starts[rest] = np.cumsum(sizes[rest]) - sizes[rest]
-        pieces += single
-        total = int(sizes[rest].sum())
-        places = np.flatnonzero(word)
-        for a in range(0, len(places), 500):
-            run = places[a : a + 500]
-            found = self.library.encode("".join([parts[k] for k in run]), add_special_tokens=False)
-            ids = np.asarray(found.ids, np.uint32)
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(np.asarray(found.word_ids, np.int64))) + 1, [len(ids)]])
-            starts[run], sizes[run] = total + cuts[:-1], np.diff(cuts)
-            pieces.append(ids)
-            total += len(ids)
-        return np.concatenate(pieces) if pieces else np.zeros(0, np.uint32), starts, sizes
+    def ids_of(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pre-tokens (in byte letters), one after another, and how many each has."""
+        ids, sizes, split = [], [], self.model.tokenize
+        for part in parts:
+            found = [x.id for x in split(part)]
+            ids += found
+            sizes.append(len(found))
+        return np.asarray(ids, np.uint32), np.asarray(sizes, np.int64)
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         start, size, known = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
@@ -141,7 +145,8 @@ class Encoder:
         """keys: sorted."""
         if len(self.old[0]) + len(self.new[0]) + len(keys) > ENTRIES:
             self.clear()
-        ids, starts, sizes = self.ids_of(parts)
+        ids, sizes = self.ids_of(parts)
+        starts = np.cumsum(sizes) - sizes
         while self.used + len(ids) > len(self.pool):
             self.pool = np.append(self.pool, np.zeros(len(self.pool), np.uint32))
         self.pool[self.used : self.used + len(ids)] = ids
@@ -157,7 +162,7 @@ class Encoder:
         return tuple(np.insert(a, at, b) for a, b in zip(x, y, strict=True))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        strange = foreign(data, offsets) | self.special(data, offsets) if len(data) else np.zeros(len(offsets) - 1, bool)
+        strange = foreign(data, offsets) | self.special(data, offsets) | (not self.plain) if len(data) else np.zeros(len(offsets) - 1, bool)
         if strange.any():
             counts, parts = [], []
             for k in range(len(offsets) - 1):
@@ -173,12 +178,13 @@ class Encoder:
         keys, first, which = np.unique(span(prefix(TABLE[data]), starts, ends), return_index=True, return_inverse=True)
         begin, size, known = self.find(keys)
         if not known.all():
-            text = data.tobytes()
-            self.learn(keys[~known], [text[a:b].decode() for a, b in zip(starts[first[~known]].tolist(), ends[first[~known]].tolist(), strict=True)])
-            begin, size, known = self.find(keys)
-            if not known.all():  # the table was emptied
-                self.learn(keys[~known], [text[a:b].decode() for a, b in zip(starts[first[~known]].tolist(), ends[first[~known]].tolist(), strict=True)])
-                begin, size, _ = self.find(keys)
+            text = BYTE_LETTERS[data].tobytes().decode("utf-16-le")
+            for _ in range(2):  # a second time if the table was emptied
+                fresh = first[~known]
+                self.learn(keys[~known], [text[a:b] for a, b in zip(starts[fresh].tolist(), ends[fresh].tolist(), strict=True)])
+                begin, size, known = self.find(keys)
+                if known.all():
+                    break
         sizes = size[which]
         ids = self.pool[np.repeat(begin[which], sizes) + ranges(sizes)]
         total = np.concatenate([[0], np.cumsum(sizes)])

@@ -23,23 +23,32 @@ from .common import Workspace
 from .kernels import mix, slices
 
 WINDOW, MASK, SHORTEST, LONGEST = 8, 511, 128, 4096
+FACTOR = 0x9E3779B97F4A7C15
 DIGEST = 16
 #: Addresses that a writing task remembers so as to send each chunk's bytes once; the store drops the rest.
 SEEN = 200_000
 
 
-def cut(ids: np.ndarray) -> list[int]:
-    """Ends of content-defined chunks: where the rolling hash of the last ids has its low bits clear."""
-    n = len(ids)
-    if n <= SHORTEST:
-        return [n] if n else []
-    h = np.zeros(n, np.uint64)
-    factor = np.uint64(1)
-    for back in range(WINDOW):
-        h[back:] += ids[: n - back].astype(np.uint64) * factor
-        factor = np.uint64(int(factor) * 0x9E3779B97F4A7C15 % (1 << 64))
+def breaks(ids: np.ndarray) -> np.ndarray:
+    """Places after which a chunk may end: where the rolling hash of the last WINDOW ids has its low bits clear.
+
+    Ids of several documents may follow one another: no chunk ends within SHORTEST ids of a document's start, so what
+    the window holds of the document before decides nothing.
+    """
+    h, factor, width = ids.astype(np.uint64), FACTOR, 1
+    while width < WINDOW:
+        longer = h.copy()
+        longer[width:] += h[: max(0, len(h) - width)] * np.uint64(factor)
+        h, factor, width = longer, factor * factor % (1 << 64), 2 * width
+    return np.flatnonzero((mix(h) & np.uint64(MASK)) == 0) + 1
+
+
+def ends_of(places: list[int], n: int) -> list[int]:
+    """Ends of the chunks of a document of n ids with these breaks."""
     ends, last = [], 0
-    for at in (np.flatnonzero((mix(h) & np.uint64(MASK)) == 0) + 1).tolist() + [n]:
+    for at in [*places, n]:
+        if at > n:
+            break
         while at - last > LONGEST:
             last += LONGEST
             ends.append(last)
@@ -49,6 +58,11 @@ def cut(ids: np.ndarray) -> list[int]:
     return ends
 
 
+def cut(ids: np.ndarray) -> list[int]:
+    """Ends of content-defined chunks of one document."""
+    return ends_of(breaks(ids).tolist(), len(ids))
+
+
 def address(payload: bytes) -> bytes:
     return hashlib.blake2b(payload, digest_size=DIGEST).digest()
 
@@ -80,11 +94,16 @@ def encode(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
             for a, b, raw, offsets in slices(batch.column(1), 1 << 20):
                 rows = []
                 found, bounds = encoder.encode(raw, offsets)
+                ids = np.insert(found, bounds[1:], end)
+                bounds = bounds + np.arange(len(bounds))
+                places = breaks(ids)
+                first = np.searchsorted(places, bounds, "right").tolist()
+                narrow = ids.astype("<u2").tobytes() if ids.max() < 65536 else None
                 for k, doc in enumerate(batch.column(0)[a:b].to_pylist()):
-                    ids = np.append(found[bounds[k] : bounds[k + 1]], end)
+                    base, n = int(bounds[k]), int(bounds[k + 1] - bounds[k])
                     chain, at = [], 0
-                    for to in cut(ids):
-                        part = payload(ids[at:to])
+                    for to in ends_of((places[first[k] : first[k + 1]] - base).tolist(), n):
+                        part = payload(ids[base + at : base + to]) if narrow is None else narrow[2 * (base + at) : 2 * (base + to)]
                         chain.append(name := address(part))
                         if name not in seen:
                             if len(seen) >= SEEN:
@@ -92,7 +111,7 @@ def encode(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
                             seen.add(name)
                             rows.append((name, to - at, part, None, None, int.from_bytes(name[:6], "big")))
                         at = to
-                    rows.append((None, len(ids), None, doc, b"".join(chain), int.from_bytes(address(repr(doc).encode())[:6], "big")))
+                    rows.append((None, n, None, doc, b"".join(chain), int.from_bytes(address(repr(doc).encode())[:6], "big")))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     names = ["address", "n", "data", "doc_id", "chain", "route"]

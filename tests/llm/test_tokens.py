@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from tokenizers import Tokenizer
 
 from stepforge.llm import kernels, packing, queries, tokens, tokenstore
 from stepforge.llm.common import Workspace
@@ -14,8 +15,11 @@ SCALE = "/root/testdata/sf0.001"
 VOCABULARY = tokens.default_vocabulary()
 
 
+LIBRARY = Tokenizer.from_file(VOCABULARY)
+
+
 def ids_by_hand(text):
-    return tokens.encoder(VOCABULARY).whole([text or ""])[0].tolist()
+    return LIBRARY.encode(text or "", add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("letters", ["ab sS'tmdrelvA9 .\n\t\r  !çéßñ", "ab 's×’\x1f日\x00'll"])
@@ -229,6 +233,37 @@ def test_store(spark):
     assert stored.count() == stored.select("address").distinct().count()
 
 
+def test_store_query_by_brute_force(spark):
+    docs = spark.read.parquet(f"{SCALE}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
+    got, at = {r["doc_id"]: r for r in queries.op6_token_store(spark, SCALE).collect()}, 0
+    for r in docs:
+        ids = np.asarray([*ids_by_hand(r["text"]), 2], "<u4")
+        x = got.pop(r["doc_id"])
+        assert (x["start"], x["n_tokens"], x["ids_crc32"]) == (at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+    assert not got
+
+
+def test_store_of_odd_rows(spark):
+    """Equal doc_ids are documents of their own, very long texts make many chunks, clashing columns do no harm."""
+    rows = [(5, "same"), (5, "same"), (None, "lost"), (1, "ab " * 400_000)]
+    df = spark.createDataFrame(rows, EMPTY).selectExpr("*", "'x' chain", "0 n_tokens", "'y' address")
+    out = tokenstore.round_trip(df, VOCABULARY).collect()
+    count = lambda t: len(ids_by_hand(t)) + 1
+    assert Counter((r["doc_id"], r["n_tokens"]) for r in out) == Counter({(5, count("same")): 2, (None, count("lost")): 1, (1, count(rows[3][1])): 1})
+    starts = sorted((r["start"], r["n_tokens"]) for r in out)
+    assert starts[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:], strict=False))
+
+
+def test_breaks_of_a_document_do_not_depend_on_the_one_before():
+    rnd = np.random.default_rng(8)
+    docs = [rnd.integers(0, 50000, n).astype(np.uint32) for n in (0, 1, 5, 127, 128, 3000, 9000)]
+    joined, bounds = np.concatenate(docs), np.cumsum([0, *map(len, docs)])
+    places = tokenstore.breaks(joined)
+    for d, a, b in zip(docs, bounds, bounds[1:], strict=False):
+        assert tokenstore.ends_of((places[(places > a) & (places <= b)] - a).tolist(), len(d)) == tokenstore.cut(d)
+
+
 def test_store_tells_damage(spark):
     work = Workspace(spark, "store")
     tokenstore.write(spark.createDataFrame([(1, "a b c"), (2, "d e f")], EMPTY), work.root, VOCABULARY)
