@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
 import gc
@@ -15,15 +16,33 @@ from stepforge.session import ship
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; set here only where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    It is set here only where it is unset and everything runs in one JVM; on a cluster its absence is an error, since a
+    folder of this machine would not be seen by others.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + os.path.join(tempfile.gettempdir(), "stepforge-checkpoints")
         spark.sparkContext.setCheckpointDir(root)
         spark.conf.set("spark.checkpoint.dir", root)
     return root
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def sweep(spark: SparkSession, path: str) -> None:
+    """Removes a folder at the end of the program, if the session is still there."""
+    with contextlib.suppress(Exception):
+        remove(spark, path)
+
+
 def release(spark: SparkSession) -> None:
     """Lets the driver give back what finished work held: plans and broadcasts in the JVM, freed arrays in Python."""
     gc.collect()
@@ -33,12 +52,17 @@ def release(spark: SparkSession) -> None:
 
 
 class Workspace:
-    """A folder of Parquet tables below the shared folder; each table cuts lineage and survives lost executors."""
+    """A folder of Parquet tables below the shared folder; each table cuts lineage and survives lost executors.
+
+    Results read some of the tables when they are asked for, so the folder stays until the program ends, but for what
+    drop() removes before.
+    """
 
     def __init__(self, spark: SparkSession, label: str):
         ship(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+        atexit.register(sweep, spark, self.root)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -55,6 +79,6 @@ class Workspace:
         release(self.spark)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
-    def drop(self, name: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *names: str) -> None:
+        for name in names:
+            remove(self.spark, self.path(name))

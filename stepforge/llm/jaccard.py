@@ -9,11 +9,13 @@
    member; pairs pass if sizes and the summed coordinate minima of the count vectors permit the overlap, and are then
    verified on the sets. This settles groups of copies in linear work.
 4. Members of a key that are still in different components are joined by a dual R-tree descent over their count
-   vectors, whose node bounds are summed minima of coordinate maxima; survivors are verified.
+   vectors, whose node bounds are summed minima of coordinate maxima; survivors are verified. A key with very many
+   members is cut into blocks of bounded size, and every two blocks are joined by a task of their own.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from functools import partial
 
@@ -33,13 +35,19 @@ GROUPS = 64
 #: Larger sets get a finer count vector besides, for pairs: bits of the hash that make its groups, by least size.
 FINE_BITS = ((8192, 12), (2048, 10), (512, 8))
 SKETCH_BITS, SKETCH_SLICES = 22, 64
+#: Input that a task reads at least, for the number of lots in which sketches are added up.
+TASK_BYTES = 16 << 20
 #: Sets smaller than this have a bit map of that many hash groups besides, for pairs met in the tree.
 MAP_BITS = 1024
 #: Keys with more members are dealt out by size band as well.
 HOT_KEY = 512
+#: Members of a key (and size band) that one tree holds; more are cut into blocks, two of which make a tree.
+BLOCK = 8192
 #: Up to this many ids of documents to verify are broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 FANOUT, LEAF_PAIRS = 16, 1 << 16
+#: Shingles of the sets that a task describes before it sends their rows.
+SETS_AT_ONCE = 1 << 18
 
 
 def need(n1, n2, percent: int):
@@ -70,6 +78,8 @@ def frequency_levels(docs: DataFrame, width: int) -> np.ndarray:
     The sketch has 4 million counters of 32 bits in a task and one byte each when it is broadcast, at every scale.
     """
     size = 1 << (SKETCH_BITS - SKETCH_SLICES.bit_length() + 1)
+    # sketches are added up in two steps, about as many in each
+    lots = max(64, math.isqrt(int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) // TASK_BYTES))
 
     def count(batches):
         total = np.zeros(1 << SKETCH_BITS, np.uint32)
@@ -77,7 +87,7 @@ def frequency_levels(docs: DataFrame, width: int) -> np.ndarray:
             found = [x for _, x in shingle_sets(batch.column(0), width)]
             places, times = np.unique(np.concatenate(found) >> np.uint64(64 - SKETCH_BITS) if found else np.zeros(0, np.uint64), return_counts=True)
             total[places.astype(np.int64)] += times.astype(np.uint32)
-        lot = TaskContext.get().partitionId() % 64
+        lot = TaskContext.get().partitionId() % lots
         packed = [zlib.compress(x.tobytes(), 1) for x in total.reshape(SKETCH_SLICES, -1)]
         yield pa.RecordBatch.from_arrays([pa.array([lot] * SKETCH_SLICES, pa.int32()), pa.array(range(SKETCH_SLICES), pa.int32()), pa.array(packed, pa.binary())], names=["lot", "slice", "packed"])
 
@@ -136,24 +146,32 @@ def fine_overlap(x: bytes, y: bytes) -> int | None:
 def features(docs: DataFrame, levels: np.ndarray, width: int, percent: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
+    def describe(ids: pa.Array, sets: list[np.ndarray], levels: np.ndarray) -> pa.RecordBatch:
+        n, h1, h2, vectors, fine, maps, keys = [], [], [], [], [], [], []
+        for found in sets:
+            n.append(len(found))
+            whole = span(prefix(found), np.asarray([0]), np.asarray([len(found)]))
+            h1.append(int(signed(whole)[0]))
+            h2.append(int(signed(np.asarray([np.bitwise_xor.reduce(found * np.uint64(0x9FB21C651E98DF25) ^ found >> np.uint64(29), initial=np.uint64(0))]))[0]))
+            groups = np.bincount((found >> np.uint64(58)).astype(np.int64), minlength=GROUPS)
+            vectors.append(groups.astype("<u2").tobytes() if groups.max(initial=0) < 65536 else b"")
+            fine.append(fine_vector(found))
+            maps.append(bit_map(found))
+            long = len(found) - -(-percent * len(found) // 100) + 1 if len(found) else 0
+            rank = levels[(found >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(56) | found & np.uint64((1 << 56) - 1)
+            keys.append(found[np.argpartition(rank, long - 1)[:long]].tobytes() if long else b"")
+        columns = [*[pa.array(x, pa.int64()) for x in (n, h1, h2)], *[pa.array(x, pa.binary()) for x in (vectors, fine, maps, keys)]]
+        return pa.RecordBatch.from_arrays([ids, *columns], names=["doc_id", "n", "h1", "h2", "vector", "fine", "map", "keys"])
+
     def run(batches):
-        levels = shared.value
         for batch in batches:
-            n, h1, h2, vectors, fine, maps, keys = [], [], [], [], [], [], []
-            for _, found in shingle_sets(batch.column(1), width):
-                n.append(len(found))
-                sums = prefix(found)
-                whole = span(sums, np.asarray([0]), np.asarray([len(found)]))
-                h1.append(int(signed(whole)[0]))
-                h2.append(int(signed(np.asarray([np.bitwise_xor.reduce(found * np.uint64(0x9FB21C651E98DF25) ^ found >> np.uint64(29), initial=np.uint64(0))]))[0]))
-                groups = np.bincount((found >> np.uint64(58)).astype(np.int64), minlength=GROUPS)
-                vectors.append(groups.astype("<u2").tobytes() if groups.max(initial=0) < 65536 else b"")
-                fine.append(fine_vector(found))
-                maps.append(bit_map(found))
-                long = len(found) - -(-percent * len(found) // 100) + 1 if len(found) else 0
-                rank = levels[(found >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(56) | found & np.uint64((1 << 56) - 1)
-                keys.append(found[np.argpartition(rank, long - 1)[:long]].tobytes() if long else b"")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(vectors, pa.binary()), pa.array(fine, pa.binary()), pa.array(maps, pa.binary()), pa.array(keys, pa.binary())], names=["doc_id", "n", "h1", "h2", "vector", "fine", "map", "keys"])
+            sets, size = [], 0
+            for row, found in shingle_sets(batch.column(1), width):
+                sets.append(found)
+                size += len(found)
+                if size >= SETS_AT_ONCE or row == len(batch) - 1:
+                    yield describe(batch.column(0).slice(row + 1 - len(sets), len(sets)), sets, shared.value)
+                    sets, size = [], 0
 
     return docs.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, vector binary, fine binary, map binary, keys binary")
 
@@ -201,8 +219,8 @@ def bounded(edges: DataFrame, featured: DataFrame, percent: int) -> DataFrame:
     return edges.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "va", "vb", "fa", "fb").mapInArrow(run, "a long, b long").distinct()
 
 
-def tree_pairs(vectors: np.ndarray, sizes: np.ndarray, labels: np.ndarray, percent: int):
-    """Places (i, j), i < j, of members with different labels that sizes and count vectors permit to link.
+def tree_pairs(vectors: np.ndarray, sizes: np.ndarray, labels: np.ndarray, percent: int, sides: np.ndarray | None = None):
+    """Places (i, j), i < j, of members with different labels (and sides) that sizes and count vectors permit to link.
 
     The R-tree packs members in order of size, FANOUT to a node; nodes keep coordinate maxima and size ranges. Pairs
     of nodes are descended together, level by level and in lots of bounded size.
@@ -218,7 +236,7 @@ def tree_pairs(vectors: np.ndarray, sizes: np.ndarray, labels: np.ndarray, perce
         ok = 100 * high[i] >= percent * low[j]  # j holds the larger members
         i, j, at = i[ok], j[ok], np.flatnonzero(ok)
         if not level:
-            apart = labels[i] != labels[j]
+            apart = labels[i] != labels[j] if sides is None else (labels[i] != labels[j]) & (sides[i] != sides[j])
             i, j, at = i[apart], j[apart], at[apart]
         return at[np.minimum(v[i], v[j]).sum(axis=1) >= need(low[i], low[j], percent)]
 
@@ -247,9 +265,10 @@ def tree_pairs(vectors: np.ndarray, sizes: np.ndarray, labels: np.ndarray, perce
 
 
 def tree_join(batches, percent: int):
-    """Rows (key, band, n, doc_id, home, label, vector, map) sorted by key, band and n: candidate pairs in each (key, band).
+    """Rows (key, band, cell, n, doc_id, home, label, block, vector, map) sorted by key, band, cell and n: candidate pairs.
 
-    A group is read in runs of members; members too small to link with the next are let go.
+    The rows of one key, band and cell are gathered (two blocks at most) and make one tree; a cell of two blocks gives
+    the pairs across them only.
     """
 
     sent: set[tuple[int, int]] = set()  # pairs meet under several keys
@@ -259,10 +278,11 @@ def tree_join(batches, percent: int):
             sent.clear()
         if len(group) > 1:
             n = np.asarray([x[0] for x in group], np.int64)
-            ids, labels, home = (np.asarray([x[k] for x in group]) for k in (1, 3, 2))
-            mapped = np.asarray([bool(x[5]) for x in group])
-            maps = np.stack([np.frombuffer(x[5] or bytes(MAP_BITS // 8), np.uint64) for x in group])
-            for i, j in tree_pairs(vectors_of([x[4] for x in group]), n, labels, percent):
+            ids, labels, home, block = (np.asarray([x[k] for x in group]) for k in (1, 3, 2, 4))
+            sides = block if block.min() < block.max() else None
+            mapped = np.asarray([bool(x[6]) for x in group])
+            maps = np.stack([np.frombuffer(x[6] or bytes(MAP_BITS // 8), np.uint64) for x in group])
+            for i, j in tree_pairs(vectors_of([x[5] for x in group]), n, labels, percent, sides):
                 keep = home[i] | home[j]
                 small = keep & mapped[i] & mapped[j]
                 keep[small] = map_overlap(maps, n, i[small], j[small]) >= need(n[i[small]], n[j[small]], percent)
@@ -274,10 +294,10 @@ def tree_join(batches, percent: int):
 
     name, group = None, []
     for batch in batches:
-        for key, band, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if (key, band) != name:
+        for key, band, cell, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (key, band, cell) != name:
                 yield from flush(group)
-                name, group = (key, band), []
+                name, group = (key, band, cell), []
             group.append(row)
     yield from flush(group)
 
@@ -339,16 +359,24 @@ def link(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     open_keys = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(np.log(100 / percent))).cast("int")
     bands = F.when(F.col("members") > HOT_KEY, F.array(F.struct(band.alias("band"), F.lit(True).alias("home")), F.struct((band + 1).alias("band"), F.lit(False).alias("home")))).otherwise(F.array(F.struct(F.lit(-1).alias("band"), F.lit(True).alias("home"))))
-    dealt = labelled.join(open_keys, "key").select("key", "n", "doc_id", "label", F.explode(bands).alias("x"))
-    # a member stays if its neighbour by size in the group is near enough
-    by_size = Window.partitionBy("key", "x.band").orderBy("n", "doc_id")
-    near = lambda other: 100 * F.least("n", other) >= percent * F.greatest("n", other)
-    dealt = dealt.withColumn("_near", F.coalesce(near(F.lag("n").over(by_size)), F.lit(False)) | F.coalesce(near(F.lead("n").over(by_size)), F.lit(False))).filter("_near").drop("_near")
-    dealt = dealt.join(featured.select("doc_id", "vector", "map"), "doc_id").select("key", "x.band", "n", "doc_id", "x.home", "label", "vector", "map")
-    candidates = dealt.repartition("key", "band").sortWithinPartitions("key", "band", "n", "doc_id").mapInArrow(partial(tree_join, percent=percent), "a long, b long").distinct()
+    dealt = labelled.join(open_keys, "key").select("key", "n", "doc_id", "label", F.explode(bands).alias("x")).select("key", "x.band", "n", "doc_id", "x.home", "label")
+    # sizes that have a neighbour near enough; a band has few sizes, however many members
+    by_size = Window.partitionBy("key", "band").orderBy("n")
+    near = lambda other: F.coalesce(100 * F.least("n", other) >= percent * F.greatest("n", other), F.lit(False))
+    sizes = dealt.groupBy("key", "band", "n").agg(F.count("*").alias("times"))
+    sizes = sizes.withColumns({"_near": (F.col("times") > 1) | near(F.lag("n").over(by_size)) | near(F.lead("n").over(by_size)), "blocks": F.ceil(F.sum("times").over(Window.partitionBy("key", "band")) / F.lit(BLOCK)).cast("int")})
+    dealt = dealt.join(sizes.filter("_near").select("key", "band", "n", "blocks"), ["key", "band", "n"])
+    # each two blocks of a key and band make a cell; mostly there is one block
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.least("block", o).cast("long") * F.col("blocks") + F.greatest("block", o))
+    dealt = dealt.withColumn("cell", F.explode(cells))
+    columns = ["key", "band", "cell", "n", "doc_id", "home", "label", "block", "vector", "map"]
+    dealt = dealt.join(featured.select("doc_id", "vector", "map"), "doc_id").select(*columns)
+    candidates = dealt.repartition("key", "band", "cell").sortWithinPartitions("key", "band", "cell", "n", "doc_id").mapInArrow(partial(tree_join, percent=percent), "a long, b long").distinct()
     candidates = bounded(work.save(candidates, "tree"), featured, percent)
     more = verified(work.save(candidates, "pairs"), docs, work, "tree", width, percent)
 
     final = components(links.unionByName(more), work, "final")
+    work.drop("rows", "centers", "star", "star-ids", "star-sets", "labels", "tree", "pairs", "tree-ids", "tree-sets")
     out = featured.select("doc_id", F.col("n").alias("n_shingles")).join(copies, "doc_id", "left").withColumn("node", F.coalesce("first", "doc_id"))
     return out.join(final, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))

@@ -189,7 +189,7 @@ def dedup_phrases(docs: DataFrame, window: int = 13, hot_anchor: int = HOT_ANCHO
     columns are ignored; an empty table gives no rows.
     """
     work = Workspace(docs.sparkSession, "phrases")
-    base = keyed(docs)
+    base = keyed(docs, work)
     spans = repeated_spans(base, work, window, hot_anchor).groupBy("tag").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     joined = base.join(spans, "tag", "left").select("doc", "text", "spans")
     out = joined.mapInArrow(keep_words, T.StructType([T.StructField("doc", T.LongType()), T.StructField("kept", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())]))

@@ -226,7 +226,7 @@ def dedup_substrings(docs: DataFrame, window: int = 200, hot_core: int = HOT_COR
     columns are ignored; an empty table gives no rows. ``window`` must be at least ANCHOR_BYTES + STEP.
     """
     work = Workspace(docs.sparkSession, "suffixes")
-    base = keyed(docs)
+    base = keyed(docs, work)
     spans = repeated_spans(base, work, window, hot_core).groupBy("tag").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     joined = base.join(spans, "tag", "left").select("doc", "text", "spans")
     out = joined.mapInArrow(keep_rest, T.StructType([T.StructField("doc", T.LongType()), T.StructField("kept", T.BinaryType()), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans"))]))

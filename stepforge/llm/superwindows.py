@@ -14,9 +14,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Workspace
 from .kernels import TABLE, TABLE2, prefix, ranges, sliding_argmin, slices, span, word_hashes, words
 
 
+#: Up to this many repeated doc_ids are broadcast (8 bytes each).
+BROADCAST_IDS = 1_000_000
+
+
 @dataclass
 class Units:
     """The units (bytes or words) of some texts: prefix sums of their hashes in two lanes and where each text's begin."""
@@ -55,10 +60,20 @@ def cut(units: Units, window: int, k: int):
     return text[place], start[place], count, anchor[place], grams[anchor[place]]
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc, tag and text: rows are told apart by tag, a hash of doc_id and text, so repeated rows do no harm."""
+def keyed(docs: DataFrame, work: Workspace) -> DataFrame:
+    """doc, tag and text; tag tells rows of different (doc_id, text) apart, and repeated rows share one.
+
+    A doc_id that one row has is its tag, so there is nothing to collide; rows that share a doc_id, or have none, take a
+    hash of doc_id and text.
+    """
     text, doc = F.coalesce(F.col("text").cast("string"), F.lit("")), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    return docs.select(doc.alias("doc"), F.xxhash64(doc, text).alias("tag"), text.alias("text"))
+    rows = docs.select(doc.alias("doc"), text.alias("text"))
+    again = work.save(rows.groupBy("doc").count().filter("count > 1").select(F.col("doc").alias("again")), "again")
+    several = again.count()
+    if not several:
+        return rows.select("doc", F.col("doc").alias("tag"), "text")
+    marked = rows.join(F.broadcast(again) if several <= BROADCAST_IDS else again, F.col("doc") == F.col("again"), "left")
+    return marked.select("doc", F.when(F.col("again").isNull(), F.col("doc")).otherwise(F.xxhash64("doc", "text")).alias("tag"), "text")
 
 
 def text_slices(batch, column: int, make):

@@ -134,6 +134,18 @@ def test_substrings(spark, window, hot):
     assert sum(x[1] for x in want.elements()) > 0
 
 
+def test_substrings_and_phrases_of_long_texts_and_clashing_columns(spark):
+    rnd = random.Random(12)
+    words = [f"w{rnd.randrange(50_000)}" for _ in range(120_000)]
+    rows = [(1, " ".join(words)), (2, "own start " + " ".join(words[5000:90_000]) + " own end"), (3, None), (3, "short"), (3, "short")]
+    df = frame(spark, rows).withColumns({c: F.lit("clash") for c in ("tag", "doc", "m", "kept", "n_bytes", "s")})
+    out = suffixes.dedup_substrings(df).collect()
+    assert Counter((r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in out) == bytes_by_hand([t for _, t in rows], 200)
+    out = phrases.dedup_phrases(df).collect()
+    assert Counter((r["n_words"], r["n_removed"], r["kept"]) for r in out) == words_by_hand(rows, 13)
+    assert phrases.dedup_phrases(frame(spark, [])).count() == 0
+
+
 def test_substrings_of_nothing_and_of_one_text(spark):
     assert suffixes.dedup_substrings(frame(spark, [])).count() == 0
     r = suffixes.dedup_substrings(frame(spark, [(1, "a" * 500)])).first()
@@ -209,6 +221,8 @@ def links_by_hand(rows, width, percent):
 @pytest.mark.parametrize(("width", "percent", "hot"), [(3, 90, jaccard.HOT_KEY), (3, 90, 2), (5, 80, jaccard.HOT_KEY), (2, 60, 3)])
 def test_links(spark, monkeypatch, width, percent, hot):
     monkeypatch.setattr(jaccard, "HOT_KEY", hot)
+    if hot < jaccard.BLOCK // 100:
+        monkeypatch.setattr(jaccard, "BLOCK", 4)  # many blocks and cells
     rnd = random.Random(width)
     rows = []
     for i in range(150):
@@ -234,6 +248,22 @@ def test_links_of_nothing_and_repeated_rows(spark):
     assert sorted((r["doc_id"] or -1, r["n_shingles"], r["component_id"]) for r in rows if r["doc_id"]) == [(2, 2, 2), (5, 2, 2), (5, 2, 2), (7, 0, 7)]
 
 
+def test_many_sets_of_one_size_under_one_key(spark, monkeypatch):
+    """Distinct sets of one size that share shingles spread over cells of at most two blocks, and no link is lost."""
+    monkeypatch.setattr(jaccard, "BLOCK", 64)
+    shared = " ".join(f"s{k}" for k in range(30))
+    rows = [(k, f"{shared} " + " ".join(f"u{k}x{j}" for j in range(8))) for k in range(700)]
+    rows += [(1000 + k, rows[k][1] + " end") for k in range(0, 700, 50)]
+    got = {(r["doc_id"], r["component_id"]) for r in jaccard.link(frame(spark, rows), 3, 90).collect()}
+    assert got == {(d, d) for d, _ in rows[:700]} | {(1000 + k, k) for k in range(0, 700, 50)}
+
+
+def test_links_ignore_other_columns_and_take_long_texts(spark):
+    text = " ".join(f"w{k}" for k in range(150_000))
+    df = frame(spark, [(1, text), (2, text + " more"), (3, "w1 w2 w3")]).withColumns({c: F.lit("clash") for c in ("n", "key", "band", "label", "component_id", "a")})
+    assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.link(df).collect()} == {(1, 149_998, 1), (2, 149_999, 1), (3, 1, 3)}
+
+
 def test_components_that_do_not_settle(spark):
     path = spark.createDataFrame([(k, k + 1) for k in range(40)], "a long, b long")
     with pytest.raises(RuntimeError):
