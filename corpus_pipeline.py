@@ -1,7 +1,9 @@
 """From raw documents to packed training sequences: five stages, each written as Parquet and read by the next.
 
 Each stage takes (spark, docs, sf_dir) with docs in the columns of ``documents`` and works on all rows its predecessor
-kept; all but the last return those columns. Null or empty texts go in the first stage, since no language can be told.
+kept; all but the last return those columns, and further columns pass through them, whatever their names. An empty table
+gives an empty table. Null or empty texts go in the first stage, since no language can be told; a stage that is given
+some treats them as its docstring says.
 """
 
 from __future__ import annotations
@@ -14,13 +16,21 @@ from stepforge.llm.common import Workspace
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents whose language is told with enough confidence."""
+    """Keeps the documents whose language is told with enough confidence.
+
+    Null texts and texts without letters go; repeated rows are judged each by itself, and a null doc_id or lang does no
+    harm (such rows don't train).
+    """
     Workspace(spark, "pipeline")
     return langid.identify(docs, langid.fit(docs)).filter("not rejected").select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops repeated lines; every document stays, and n_chars follows its text."""
+    """Drops repeated lines; every document stays, and n_chars follows its text.
+
+    A null text comes back empty. Rows of equal doc_id are one document and all keep the lines that it keeps; a row of
+    null doc_id counts as no document and keeps no repeated line.
+    """
     out = linededup.dedup_lines(docs)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -55,12 +65,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that hold no benchmark item."""
+    """Keeps the documents that hold no benchmark item.
+
+    Null texts hold none and stay, and so does a row without doc_id; rows of equal doc_id go together.
+    """
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left; one row a piece, as packing.pack() gives them."""
+    """Packs what is left; one row a piece, as packing.pack() gives them.
+
+    A null text is one piece with the end id; rows of equal doc_id are documents of their own. Only the columns of pieces
+    are returned.
+    """
     return packing.pack_documents(docs)
 
 
