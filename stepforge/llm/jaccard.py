@@ -222,22 +222,24 @@ def bounded(edges: DataFrame, featured: DataFrame, percent: int) -> DataFrame:
 def tree_pairs(vectors: np.ndarray, sizes: np.ndarray, labels: np.ndarray, percent: int, sides: np.ndarray | None = None):
     """Places (i, j), i < j, of members with different labels (and sides) that sizes and count vectors permit to link.
 
-    The R-tree packs members in order of size, FANOUT to a node; nodes keep coordinate maxima and size ranges. Pairs
-    of nodes are descended together, level by level and in lots of bounded size.
+    The R-tree packs members in order of size, FANOUT to a node; nodes keep coordinate maxima and ranges of sizes and
+    labels. Pairs of nodes are descended together, level by level and in lots of bounded size; two nodes of one and the
+    same label hold no pair.
     """
-    levels = [(vectors, sizes, sizes)]
+    levels = [(vectors, sizes, sizes, labels, labels)]
     while len(levels[-1][0]) > FANOUT:
-        v, low, high = levels[-1]
+        v, low, high, least, most = levels[-1]
         cuts = np.arange(0, len(v), FANOUT)
-        levels.append((np.maximum.reduceat(v, cuts), np.minimum.reduceat(low, cuts), np.maximum.reduceat(high, cuts)))
+        spans = [f.reduceat(x, cuts) for f, x in ((np.minimum, low), (np.maximum, high), (np.minimum, least), (np.maximum, most))]
+        levels.append((np.maximum.reduceat(v, cuts), *spans))
 
     def passing(level: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        v, low, high = levels[level]
+        v, low, high, least, most = levels[level]
         ok = 100 * high[i] >= percent * low[j]  # j holds the larger members
+        ok &= (least[i] != most[j]) | (most[i] != least[j])  # equal both ways: one label throughout
+        if not level and sides is not None:
+            ok &= sides[i] != sides[j]
         i, j, at = i[ok], j[ok], np.flatnonzero(ok)
-        if not level:
-            apart = labels[i] != labels[j] if sides is None else (labels[i] != labels[j]) & (sides[i] != sides[j])
-            i, j, at = i[apart], j[apart], at[apart]
         return at[np.minimum(v[i], v[j]).sum(axis=1) >= need(low[i], low[j], percent)]
 
     top = len(levels) - 1
