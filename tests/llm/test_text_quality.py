@@ -194,6 +194,23 @@ def test_held_out_accuracy(spark):
     assert sum(r["rejected"] for r in rows) <= 0.005 * len(rows)
 
 
+def test_languages_that_were_not_learned_are_rejected(spark):
+    docs = spark.read.parquet(f"{SCALE}/documents.parquet")
+    model = langid.fit(docs)
+    others = [
+        "Всички хора се раждат свободни и равни по достойнство и права.",
+        "すべての人間は、生まれながらにして自由であり、かつ、尊厳と権利とについて平等である。",
+        "Alla människor är födda fria och lika i värde och rättigheter, säger språklagen.",
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw.",
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan.",
+        "Tất cả mọi người sinh ra đều được tự do và bình đẳng về nhân phẩm và quyền lợi.",
+    ]
+    got = langid.identify(frame(spark, list(enumerate(others))), model).filter("rejected").count()
+    assert got == len(others)
+    held = langid.identify(docs.filter("crc32(cast(doc_id as string)) % 5 = 0").select("doc_id", "text"), model)
+    assert held.filter("rejected and text rlike '[a-z]'").count() <= 0.002 * held.count()
+
+
 def test_language_of_odd_rows(spark):
     train = [(i, t, g) for i, (t, g) in enumerate([("the cat and the dog", "en"), ("el gato y el perro", "es")] * 30)]
     model = langid.fit(spark.createDataFrame(train, "doc_id long, text string, lang string"))
