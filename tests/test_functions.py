@@ -1,4 +1,5 @@
 import difflib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -98,3 +99,21 @@ def test_similarity_is_difflib(spark):
     want = [None if a is None else difflib.SequenceMatcher(None, a, b).ratio() for a, b in pairs]
     assert got == pytest.approx(want)
     assert want[0] > 0.99 and want[1] < 0.6
+
+
+@pytest.mark.parametrize("alphabet", ["ab", "0123456789 v+=", "abc\x00\x01^-]\\", "äß漢字😀ab", "abcdefghijklmnopqrstuvwxyz 0123456789"])
+def test_ratio_is_difflib_on_any_text(alphabet):
+    r = random.Random(7)
+    text = lambda most: "".join(r.choices(alphabet, k=r.randint(0, most)))
+    for most in (8, 60, 199, 260, 700):
+        for _ in range(12):
+            a = text(most)
+            cut, to = sorted((r.randint(0, len(a)), r.randint(0, len(a))))
+            for b in (text(most), a[:cut] + text(5) + a[cut:], a[:cut] + a[to:], a[to:] + a[cut:] * 2):
+                assert S.ratio(a, b) == difflib.SequenceMatcher(None, a, b).ratio()
+
+
+def test_ratio_builds_no_index_of_characters(monkeypatch):
+    """At 60 times sf0.1 difflib's own index and loops took too long."""
+    monkeypatch.setattr(difflib.SequenceMatcher, "find_longest_match", None)
+    assert S.ratio("so v1 = 3 + 4" * 10, "so v1 = 3 - 4" * 10) > 0.5
