@@ -43,10 +43,25 @@ def sweep(spark: SparkSession, path: str) -> None:
         remove(spark, path)
 
 
+def trim(spark: SparkSession) -> None:
+    """Gives freed native memory of the driver's JVM (compilers, class loading, buffers) back to the system."""
+    jvm, array = spark._jvm, spark.sparkContext._gateway.new_array
+    kinds, given = array(jvm.java.lang.Class, 4), array(jvm.java.lang.Object, 4)
+    names = ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")
+    for k, name in enumerate(names):
+        kinds[k] = jvm.java.lang.Class.forName(name)
+    given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    # through the interface, since the server's own class is in a closed module
+    server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+    jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(server, given)
+
+
 def release(spark: SparkSession) -> None:
     """Lets the driver give back what finished work held: plans and broadcasts in the JVM, freed arrays in Python."""
     gc.collect()
     spark._jvm.System.gc()
+    with contextlib.suppress(Exception):  # not every JVM has the command
+        trim(spark)
     with contextlib.suppress(AttributeError, OSError):  # not every C library has it
         ctypes.CDLL(None).malloc_trim(0)
 

@@ -1,13 +1,58 @@
-"""Connected components by alternating large-star and small-star rounds; nothing is gathered on the driver."""
+"""Connected components by alternating large-star and small-star rounds; nothing is gathered on the driver.
+
+Tasks may contract the edges that they hold first, a bounded number at a time, so that only what joins the contracted
+parts takes rounds: every round is some queries, whose plans and compiled code the driver holds.
+"""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace
 
 
+#: Edges that a task contracts at a time.
+EDGES_AT_ONCE = 1 << 20
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every node of the edges (a, b) but the least of its component, and that least node."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b, label = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+    while len(a):
+        np.minimum.at(label, np.maximum(label[a], label[b]), np.minimum(label[a], label[b]))
+        while (label != (up := label[label])).any():
+            label = up
+        apart = label[a] != label[b]
+        a, b = a[apart], b[apart]
+    moved = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[moved], nodes[label[moved]]
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) with the components of edges (a saved table), no more of them and mostly far fewer."""
+
+    def rows(held: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in forest(*map(np.concatenate, zip(*held, strict=True)))], names=["a", "b"])
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            held.append([batch.column(k).to_numpy(zero_copy_only=False) for k in range(2)])
+            size += len(batch)
+            if size >= EDGES_AT_ONCE:
+                yield rows(held)
+                held, size = [], 0
+        if held:
+            yield rows(held)
+
+    tasks = max(1, -(-edges.count() // EDGES_AT_ONCE))
+    return edges.select("a", "b").coalesce(tasks).mapInArrow(run, "a long, b long")
+
+
 def components(edges: DataFrame, work: Workspace, label: str = "components", rounds: int = 60) -> DataFrame:
     """node and component (least node reachable) for every node of edges (a, b); loops and repeats do no harm.
 

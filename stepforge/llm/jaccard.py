@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import anchors
 from .common import Workspace
-from .components import components
+from .components import components, contracted
 from .kernels import prefix, ranges, signed, slices, span, word_hashes, words
 
 GROUPS = 64
@@ -354,7 +354,8 @@ def link(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     first = work.save(bounded(star.select("a", "b").distinct(), featured, percent), "star")
     links = verified(first, docs, work, "star", width, percent)
     # whole components, since members of one that have different labels would meet in the tree
-    labels = work.save(components(links, work, "first").withColumnRenamed("node", "doc_id"), "labels")
+    linked = work.save(contracted(links), "linked")
+    labels = work.save(components(linked, work, "first").withColumnRenamed("node", "doc_id"), "labels")
 
     # members of a key that are not yet in one component
     labelled = rows.join(centers.select("key", "members"), "key").join(labels, "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id"))
@@ -378,7 +379,7 @@ def link(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     candidates = bounded(work.save(candidates, "tree"), featured, percent)
     more = verified(work.save(candidates, "pairs"), docs, work, "tree", width, percent)
 
-    final = components(links.unionByName(more), work, "final")
+    final = components(work.save(contracted(work.save(linked.unionByName(more), "edges")), "linked-all"), work, "final")
     work.drop("rows", "centers", "star", "star-ids", "star-sets", "labels", "tree", "pairs", "tree-ids", "tree-sets")
     out = featured.select("doc_id", F.col("n").alias("n_shingles")).join(copies, "doc_id", "left").withColumn("node", F.coalesce("first", "doc_id"))
     return out.join(final, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))

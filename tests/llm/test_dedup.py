@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from stepforge.llm import components, jaccard, linededup, phrases, queries, suffixes
+from stepforge.llm import common, components, jaccard, linededup, phrases, queries, suffixes
 from stepforge.llm.common import Workspace
 
 EMPTY = "doc_id long, text string"
@@ -271,6 +271,28 @@ def test_components_that_do_not_settle(spark):
     assert {r["component"] for r in components.components(path, Workspace(spark, "test")).collect()} == {0}
 
 
+def test_contracted_edges_have_the_same_components(spark, monkeypatch):
+    rnd = np.random.default_rng(3)
+    edges = [(int(a), int(b)) for a, b in rnd.integers(0, 400, (330, 2))] + [(k, k + 1) for k in range(1000, 1100)]
+    least = {x: x for e in edges for x in e}
+    while any(least[a] != least[b] for a, b in edges):
+        for a, b in edges:
+            least[a] = least[b] = min(least[a], least[b])
+    table = Workspace(spark, "test").save(spark.createDataFrame(edges, "a long, b long").repartition(5), "edges")
+    assert {tuple(r) for r in components.contracted(table).collect()} == {x for x in least.items() if x[0] != x[1]}
+    monkeypatch.setattr(components, "EDGES_AT_ONCE", 50)
+    found = components.components(components.contracted(table), Workspace(spark, "test")).collect()
+    assert {(r["node"], r["component"]) for r in found} == {x for x in least.items() if x[1] in {m for n, m in least.items() if n != m}}
+
+
+def test_saving_a_table_gives_native_memory_back(spark, monkeypatch):
+    common.trim(spark)  # without an error
+    called = []
+    monkeypatch.setattr(common, "trim", called.append)
+    Workspace(spark, "test").save(spark.range(3).toDF("id"), "t")
+    assert called == [spark]
+
+
 def test_tree_finds_all_that_bounds_permit():
     rnd = np.random.default_rng(1)
     vectors = rnd.integers(0, 9, (300, jaccard.GROUPS)).astype(np.int32)
